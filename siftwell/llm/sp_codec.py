@@ -23,8 +23,10 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from siftwell.plans.staging import ship_package
 
@@ -240,13 +242,13 @@ def load(path: str) -> MergeModel:
     return MergeModel(path)
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", keep: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """docs with the ids of `text` (end id last) in the column `ids`, and what they decode to in `decoded`.
 
     Columns of these names in docs are replaced. A null text encodes as an empty one.
     """
     ship_package(docs.sparkSession)
-    schema = docs.drop(ids, "decoded").schema.add(ids, "array<int>").add("decoded", "string")
+    schema = docs.drop(ids, "decoded").schema.add(ids, ArrayType(IntegerType())).add("decoded", "string")
     names = docs.drop(ids, "decoded").columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +256,10 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = [model.encode(t) + [model.eos] for t in part.column(text).to_pylist()]
-                new = [pa.array(got, pa.list_(pa.int32())), pa.array([model.decode(x) for x in got], pa.string())]
+                got = [model.digest(t.as_py()) for t in part.column(text)]
+                flat = np.array(" ".join([x[1] for x in got]).split(), np.int32)
+                ends = np.cumsum([0] + [x[0] for x in got], dtype=np.int32)
+                new = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([x[2] for x in got], pa.string())]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *new], names=[*names, ids, "decoded"])
 
     return docs.select(*names).mapInArrow(run, schema)
