@@ -8,8 +8,9 @@ differ once in about 10^5 pairs.)
 
 Groups are not expanded into pairs. First each member of a bucket is compared with the bucket's smallest member (a star),
 and what links is joined into components. After that only members of a bucket that are still in different components
-are compared, signature with signature in blocks of at most `BLOCK` rows; what passes the distance and a second sketch
-(`BINS` minima of one permutation, with an allowance for its error) goes on. Whatever links is confirmed on full sets.
+are compared, signature with signature in blocks of at most `BLOCK` rows, a pair only in the first bucket that both are
+in; what passes the distance and a second sketch (`BINS` minima of one permutation, with an allowance for its error) goes
+on. Whatever links is confirmed on full sets.
 
 Defined results: without words the set is empty and the document links with nothing; with one to four words the whole
 sequence is its one shingle. A null doc_id takes no part: its component is null and it is kept. Rows that repeat a doc_id
@@ -118,28 +119,40 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bins binary")
 
 
+def _key(sig: np.ndarray, out: int | np.ndarray, chunk: int | np.ndarray) -> np.ndarray:
+    """Keys of chunks (rows of slots) with the slot `out` left out."""
+    wide = SLOTS // CHUNKS
+    packed = np.zeros(sig.shape[:-1], np.uint64)
+    for k in range(wide):
+        packed = np.where(np.asarray(out) == k, packed, (packed << np.uint64(16)) | sig[..., k].astype(np.uint64))
+    place = (np.asarray(chunk) * wide + np.asarray(out)).astype(np.uint64)
+    return _mix(packed * np.uint64(SLOTS) + place).view(np.int64)
+
+
 def _keys(classes: DataFrame) -> DataFrame:
     """key, cls: for each class and chunk a key for each slot left out."""
-    each, wide = CHUNKS * (SLOTS // CHUNKS), SLOTS // CHUNKS
+    wide = SLOTS // CHUNKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if not part.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, wide).astype(np.uint64)
-            keys = np.empty((len(sig), CHUNKS, wide), np.uint64)
-            for out in range(wide):
-                rest = [k for k in range(wide) if k != out]
-                packed = np.zeros(sig.shape[:2], np.uint64)
-                for k in rest:
-                    packed = (packed << np.uint64(16)) | sig[:, :, k]
-                keys[:, :, out] = _mix(packed * np.uint64(each) + (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(wide) + np.uint64(out)))
-            ids = np.repeat(part.column(0).to_numpy(), each)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "cls"])
+            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, wide)
+            keys = np.stack([_key(sig, out, np.arange(CHUNKS)) for out in range(wide)], 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), SLOTS))], names=["key", "cls"])
 
     return classes.select("cls", "sig").mapInArrow(run, "key long, cls long")
 
 
+def _first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first key that the signatures of each row pair share; pairs are within the distance, so there is one."""
+    wide = SLOTS // CHUNKS
+    differ = (x != y).reshape(-1, CHUNKS, wide)
+    chunk = (differ.sum(2) <= 1).argmax(1)
+    row = np.arange(len(x))
+    return _key(x.reshape(-1, CHUNKS, wide)[row, chunk], differ[row, chunk].argmax(1), chunk)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets link."""
 
@@ -183,6 +196,8 @@ def _compare(members: DataFrame) -> DataFrame:
                 x, y = i[k : k + 4096], j[k : k + 4096]
                 near = (cols["sig"][x] != cols["sig"][y]).sum(1) <= DISTANCE
                 x, y = x[near], y[near]
+                here = _first_shared(cols["sig"][x], cols["sig"][y]) == cols["key"][x]
+                x, y = x[here], y[here]
                 u, v = cols["bins"][x], cols["bins"][y]
                 same, some = ((u == v) & (u > 0)).sum(1), ((u | v) > 0).sum(1)
                 near = same >= enough * some
