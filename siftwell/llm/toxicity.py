@@ -6,7 +6,7 @@ are lower-cased words and the first letters of longer words; only the text is us
 is its share of the text's words, raised so that one word in `SHARE` counts fully. Every word of a text counts.
 
 Labels are learned from a sample of at most `max_rows` labelled documents (a parameter; the sample is the rows with the
-lowest hash of doc_id). The sample's hashed terms, not its texts, go to the driver. The model is fitted with AdaGrad in a
+lowest hash of doc_id), and only terms that go with the label beyond chance get weights and vectors. The sample's hashed terms, not its texts, go to the driver. The model is fitted with AdaGrad in a
 fixed order, so reruns agree.
 
 Null and empty texts have no terms; they get the score of the bias alone.
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from siftwell.llm.sp_codec import Store
 from siftwell.plans.staging import ship_package
 
-SLOTS, RANK, SHARE, MAX_ROWS = 1 << 20, 4, 40, 12_000
+SLOTS, RANK, SHARE, MAX_ROWS = 1 << 20, 4, 40, 16_000
+#: How many standard deviations from chance a term must be to be learned.
+LEAST = 4.5
 #: Letters of a word's beginning that make terms of their own.
 STARTS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W_]+")
@@ -51,7 +53,8 @@ class Machine:
         rng = np.random.default_rng(seed)
         self.bias = 0.0
         self.w = np.zeros(SLOTS, np.float32)
-        self.v = rng.normal(0, 0.01, (SLOTS, RANK)).astype(np.float32)
+        self.start = rng.normal(0, 0.05, (SLOTS, RANK)).astype(np.float32)
+        self.v = np.zeros((SLOTS, RANK), np.float32)
 
     def margins(self, slots: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the texts whose terms begin at `at` in slots."""
@@ -63,15 +66,30 @@ class Machine:
         square = np.bincount(own, (v * v).sum(1), n)
         return self.bias + single + 0.5 * ((both**2).sum(1) - square)
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = 6, batch: int = 64, rate: float = 0.2, shrink: float = 2e-5) -> None:
+    @staticmethod
+    def telling(rows: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, least: float = LEAST) -> np.ndarray:
+        """Slots whose presence goes with the label more than chance lets expect; all others keep no weight."""
+        slots = np.concatenate([r[0] for r in rows])
+        own = np.repeat(y, [len(r[0]) for r in rows])
+        n, share = np.bincount(slots, minlength=SLOTS), y.mean()
+        expected = n * share
+        spread = expected * (1 - share) * (len(rows) - n) / max(1, len(rows) - 1)
+        return np.abs(np.bincount(slots, own, SLOTS) - expected) >= least * np.sqrt(spread + 0.25)
+
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], batch: int = 64, rate: float = 0.2, shrink: float = 2e-5) -> None:
+        """At least 8 rounds; more over few rows, up to 60, so that about 60,000 rows are seen."""
         rng = np.random.default_rng(11)
         rows = [r for r in rows if len(r[0])]
         if not rows:
             return
         y_all = np.array([r[2] for r in rows], np.float32)
+        telling = self.telling(rows, y_all)
+        self.v[telling] = self.start[telling]
+        cut = [telling[r[0]] for r in rows]
+        rows = [(r[0][c], r[1][c], r[2]) for r, c in zip(rows, cut)]
         rare = max(1.0, min(20.0, (1 - y_all.mean()) / max(y_all.mean(), 1e-3))) ** 0.5
         gw, gv, gb = np.full(SLOTS, 1e-6, np.float32), np.full(SLOTS, 1e-6, np.float32), 1e-6
-        for _ in range(rounds):
+        for _ in range(max(8, min(60, 60_000 // len(rows)))):
             order = rng.permutation(len(rows))
             for k in range(0, len(order), batch):
                 part = [rows[i] for i in order[k : k + batch]]
