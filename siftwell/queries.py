@@ -337,3 +337,12 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     part = lambda cond: rows.where(cond).select(F.col("l_partkey").alias("part"))
     return part("l_returnflag = 'A'").intersect(part("l_returnflag = 'R'")).subtract(part("l_quantity > 49.5"))
+
+
+@query("rule_fields", f""", {_BLOCKS}, parts AS (SELECT l_suppkey AS report_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY seq) - 1 AS INT) AS block_id, name, severity, CAST(floor(l_quantity) AS DOUBLE) AS cvss, concat('Order ', CAST(l_orderkey AS VARCHAR), '  was', chr(9), 'seen.') AS about FROM findings)
+    SELECT p.report_id, p.block_id, p.name, p.severity, p.cvss, p.about AS first_line FROM parts p JOIN blocks b ON b.report_id = p.report_id AND b.block_id = p.block_id""", "report_lines")
+def rule_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.operators import rules
+
+    rows = rules.network_fields(_blocks(spark, sf_dir))
+    return rows.select("report_id", "block_id", F.regexp_extract("name", r"^(\S+ \S+ \S+)", 1).alias("name"), "severity", "cvss", F.element_at("description", 1).alias("first_line"))

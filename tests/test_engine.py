@@ -287,3 +287,26 @@ def test_entry_imports_without_the_subpackage():
 
     names = set(__spark_entry__.queries())
     assert {"prioritize_queue", "segment_blocks"} <= names and set(__spark_entry__.oracle_sql()) <= names
+
+
+def test_rules_for_network_blocks(spark):
+    from siftwell.operators import rules
+
+    body = "High (CVSS: 9.8)\nNVT: Old\nserver\n\nSummary\nis old\nReferences\nCVE: CVE-2008-5304, CVE-2008-5305\nBID:32668, 32669\nOther:\nSolution:\nupdate"
+    df = spark.createDataFrame([("r", 0, body, "443", "tcp"), ("r", 1, "Log (CVSS: 0.0)\nNVT: x\nSummary\nsee 80/tcp", None, None)], "report_id string, block_id int, text string, port string, protocol string")
+    a, b = sorted(rules.network_fields(df).collect(), key=lambda r: r.block_id)
+    assert (a.name, a.severity, a.cvss, a.port, a.description, a.solution) == ("Old server", "HIGH", 9.8, "443", ["is old"], ["update"])
+    assert a.references == ["CVE-2008-5304", "CVE-2008-5305", "BID:32668", "BID:32669"]
+    assert (b.severity, b.cvss, b.port, b.protocol, b.impact) == ("LOG", 0.0, "80", "tcp", [])
+
+
+def test_instances_of_web_blocks(spark):
+    from siftwell.operators import rules
+
+    body = "VULNERABILITY HIGH PLUGIN ID 10\nINSTANCE\nhttps://x/a\nINPUT TYPE form\nINPUT NAME q\nPAYLOAD\n<x>\nPROOF\none\ntwo\nOUTPUT\n-\nREQUEST MADE\nGET /a HTTP/1.1\nRESPONSE HEADERS\nHTTP/1.1 200 OK\ncontent-type: text/html; charset=x\nINSTANCE\nhttps://x/b"
+    df = spark.createDataFrame([("r", 0, body)], "report_id string, block_id int, text string")
+    a, b = sorted(rules.instances(df).collect(), key=lambda r: r.instance_no)
+    assert (a.instance, a.input_type, a.input_name, a.payload, a.proof, a.output) == ("https://x/a", "form", "q", "<x>", "one two", "")
+    assert (a.request_method, a.http_protocol, a.http_status_code, a.response_content_type) == ("GET", "HTTP/1.1", 200, "text/html") and b.instance == "https://x/b"
+    base = spark.createDataFrame([(10, "n"), (11, "m")], "plugin long, name string")
+    assert {r.plugin: len(r.instances) for r in rules.annotated(base, df).collect()} == {10: 2, 11: 0}
