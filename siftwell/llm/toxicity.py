@@ -2,12 +2,11 @@
 
 score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j): single terms have weights, pairs of terms have the
 product of their vectors, so that an insult together with a group's mention can count for more than both alone. Terms
-are lower-cased words and the first letters of longer words; only the text is used. A term's value
-is its share of the text's words, raised so that one word in `SHARE` counts fully. Every word of a text counts.
+are lower-cased words and the first letters of longer words; only the text is used. A term's value is its share of the text's words, raised so that one word in `SHARE` counts fully. Every word of a text counts.
 
 Labels are learned from a sample of at most `max_rows` labelled documents (a parameter; the sample is the rows with the
-lowest hash of doc_id), and only terms that go with the label beyond chance get weights and vectors. The sample's hashed terms, not its texts, go to the driver. The model is fitted with AdaGrad in a
-fixed order, so reruns agree.
+lowest hash of doc_id), and only terms that go with the label beyond chance get weights and vectors. Terms are counted
+by Spark; the sample's telling terms go to the driver. The model is fitted with AdaGrad in a fixed order, so reruns agree.
 
 Null and empty texts have no terms; they get the score of the bias alone.
 """
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.sp_codec import Store
-from siftwell.plans.staging import ship_package
+from siftwell.plans.staging import ship_package, stage
 
 SLOTS, RANK, SHARE, MAX_ROWS = 1 << 20, 4, 40, 16_000
 #: How many standard deviations from chance a term must be to be learned.
@@ -50,12 +49,20 @@ def _terms(store: Store, text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 class Machine:
     def __init__(self, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.bias = 0.0
+        self.seed, self.bias, self.used = seed, 0.0, np.zeros(0, np.int64)
         self.w = np.zeros(SLOTS, np.float32)
-        self.start = rng.normal(0, 0.05, (SLOTS, RANK)).astype(np.float32)
         self.v = np.zeros((SLOTS, RANK), np.float32)
 
+    def packed(self) -> tuple:
+        """Only what has weights."""
+        return self.bias, self.used, self.w[self.used], self.v[self.used]
+
+    @classmethod
+    def unpacked(cls, packed: tuple) -> "Machine":
+        m = cls()
+        m.bias, m.used, m.w[packed[1]], m.v[packed[1]] = packed[0], packed[1], packed[2], packed[3]
+        return m
+
     def margins(self, slots: np.ndarray, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the texts whose terms begin at `at` in slots."""
         n = len(at)
@@ -66,27 +73,14 @@ class Machine:
         square = np.bincount(own, (v * v).sum(1), n)
         return self.bias + single + 0.5 * ((both**2).sum(1) - square)
 
-    @staticmethod
-    def telling(rows: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, least: float = LEAST) -> np.ndarray:
-        """Slots whose presence goes with the label more than chance lets expect; all others keep no weight."""
-        slots = np.concatenate([r[0] for r in rows])
-        own = np.repeat(y, [len(r[0]) for r in rows])
-        n, share = np.bincount(slots, minlength=SLOTS), y.mean()
-        expected = n * share
-        spread = expected * (1 - share) * (len(rows) - n) / max(1, len(rows) - 1)
-        return np.abs(np.bincount(slots, own, SLOTS) - expected) >= least * np.sqrt(spread + 0.25)
-
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], batch: int = 64, rate: float = 0.2, shrink: float = 2e-5) -> None:
         """At least 8 rounds; more over few rows, up to 60, so that about 60,000 rows are seen."""
         rng = np.random.default_rng(11)
-        rows = [r for r in rows if len(r[0])]
         if not rows:
             return
         y_all = np.array([r[2] for r in rows], np.float32)
-        telling = self.telling(rows, y_all)
-        self.v[telling] = self.start[telling]
-        cut = [telling[r[0]] for r in rows]
-        rows = [(r[0][c], r[1][c], r[2]) for r, c in zip(rows, cut)]
+        self.used = np.unique(np.concatenate([r[0] for r in rows]))
+        self.v[self.used] = np.random.default_rng(self.seed).normal(0, 0.05, (len(self.used), RANK))
         rare = max(1.0, min(20.0, (1 - y_all.mean()) / max(y_all.mean(), 1e-3))) ** 0.5
         gw, gv, gb = np.full(SLOTS, 1e-6, np.float32), np.full(SLOTS, 1e-6, np.float32), 1e-6
         for _ in range(max(8, min(60, 60_000 // len(rows)))):
@@ -136,9 +130,39 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
                 names=["doc_id", "toxic", "slots", "x"],
             )
 
-    rows = sample.mapInArrow(run, "doc_id long, toxic int, slots binary, x binary").toArrow().sort_by("doc_id")
+    terms = stage(sample.mapInArrow(run, "doc_id long, toxic int, slots binary, x binary"), "tox-terms")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, bad = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for y, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                slots = np.frombuffer(s, "<i4")  # distinct in a text
+                n[slots] += 1
+                bad[slots] += y
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(bad[some])], names=["slot", "n", "bad"])
+
+    total = terms.agg(F.count("*").alias("rows"), F.coalesce(F.avg((F.col("toxic") > 0).cast("double")), F.lit(0.0)).alias("share")).first()
+    counts = terms.select((F.col("toxic") > 0).cast("int").alias("toxic"), "slots").mapInArrow(count, "slot int, n long, bad long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # A term tells if its presence goes with the label more than chance lets expect; at most SLOTS numbers.
+    expected = F.col("n") * total["share"]
+    spread = expected * (1 - total["share"]) * (total["rows"] - F.col("n")) / max(1, total["rows"] - 1)
+    telling = counts.where(F.abs(F.col("bad") - expected) >= LEAST * F.sqrt(spread + 0.25)).select("slot").toArrow().column(0).to_numpy()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(SLOTS, bool)
+        keep[telling] = True
+        for b in batches:
+            slots, x = [], []
+            for s, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                s = np.frombuffer(s, "<i4")
+                slots.append(s[keep[s]].tobytes())
+                x.append(np.frombuffer(v, "<f4")[keep[s]].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(slots, pa.binary()), pa.array(x, pa.binary())], names=["doc_id", "toxic", "slots", "x"])
+
+    rows = terms.mapInArrow(cut, "doc_id long, toxic int, slots binary, x binary").toArrow().sort_by("doc_id")
     machine = Machine()
-    machine.fit([(np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(x, "<f4"), y) for s, x, y in zip(*(rows.column(k).to_pylist() for k in ("slots", "x", "toxic")))])
+    machine.fit([(np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(x, "<f4"), int(y > 0)) for s, x, y in zip(*(rows.column(k).to_pylist() for k in ("slots", "x", "toxic")))])
     return machine
 
 
@@ -146,12 +170,11 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", into: str = "to
     """docs with a column of scores from 0 to 1; one of that name is replaced."""
     spark = docs.sparkSession
     ship_package(spark)
-    model = spark.sparkContext.broadcast((machine.bias, machine.w, machine.v))  # SLOTS * (RANK + 1) numbers, whatever the rows
+    model = spark.sparkContext.broadcast(machine.packed())  # at most SLOTS * (RANK + 2) numbers, whatever the rows
     names = [c for c in docs.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Machine.__new__(Machine)
-        m.bias, m.w, m.v = model.value
+        m = Machine.unpacked(model.value)
         store = Store(_slots, 200_000)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
