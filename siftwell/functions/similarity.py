@@ -38,23 +38,29 @@ def exact(a: Column, b: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(F.lower(F.trim(a)) == F.lower(F.trim(b))).cast("double")
 
 
-def identifiers(text: Column) -> Column:
-    """CVE, CWE, BID and URL identifiers in one spelling; without any, the normalised comma parts."""
-    low = F.lower(text)
+def _item_identifiers(item: Column) -> Column:
+    """Identifiers of one lower-case reference item; a leading label counts for bare numbers of its comma list too."""
 
     def each(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), lambda x: F.concat(F.lit(kind), F.array_join(F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0)), "-")))
-
-    found = F.array_distinct(
-        F.concat(
-            each("cve-", r"cve[-\s:]*\d{4}[-\s]\d{3,7}"),
-            each("cwe-", r"cwe[-\s:]*\d+"),
-            each("bid-", r"bid[-\s:]*\d+"),
-            F.regexp_extract_all(low, F.lit(r"https?://[^\s,;\"'<>)]+"), F.lit(0)),
-        )
-    )
-    parts = F.array_distinct(F.filter(F.transform(F.split(low, r"[,\n]"), lambda x: F.array_join(tokens(x), " ")), lambda x: x != ""))
-    return F.when(F.size(found) > 0, found).otherwise(parts)
+        return F.transform(F.regexp_extract_all(item, F.lit(pattern), F.lit(0)), lambda x: F.concat(F.lit(kind), F.array_join(F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0)), "-")))
+
+    parts = F.filter(F.transform(F.split(item, ","), lambda x: F.trim(x)), lambda x: x != "")
+    label = F.regexp_extract(item, r"^\s*(cve|cwe|bid)\b", 1)
+    bare = F.when(label != "", F.transform(F.filter(parts, lambda x: F.regexp_like(x, F.lit(r"^\d{1,7}$"))), lambda x: F.concat(label, F.lit("-"), x))).otherwise(F.array().cast("array<string>"))
+    found = F.concat(
+        each("cve-", r"cve[-\s:]*\d{4}[-\s]\d{3,7}"), each("cwe-", r"cwe[-\s:]*\d+"), each("bid-", r"bid[-\s:]*\d+"),
+        F.transform(F.regexp_extract_all(item, F.lit(r"\b\d{4}-(a|api)\d{1,2}\b"), F.lit(0)), lambda x: F.concat(F.lit("owasp-"), x)),
+        F.transform(F.regexp_extract_all(item, F.lit(r"https?://[^\s,'\"]+"), F.lit(0)), lambda x: F.regexp_replace(x, "[/.]+$", "")), bare)
+    # Without any: the comma parts, each with the first part's first word.
+    word = F.coalesce(F.regexp_extract(F.try_element_at(parts, F.lit(1)), r"^(\S+)", 1), F.lit(""))
+    named = F.transform(parts, lambda x, i: F.when((i == 0) | F.startswith(x, word), x).otherwise(F.concat(word, F.lit(" "), x)))
+    plain = F.filter(F.transform(named, lambda x: F.array_join(tokens(x), " ")), lambda x: x != "")
+    return F.when(F.size(found) > 0, found).otherwise(plain)
+
+
+def identifiers(text: Column) -> Column:
+    """The distinct CVE, CWE, BID, OWASP and URL identifiers of the lines of a text; of a line without any, its words."""
+    return F.array_distinct(F.flatten(F.transform(F.split(F.lower(text), "\n"), _item_identifiers)))
 
 
 def set_f1_ids(a: Column, b: Column) -> Column:

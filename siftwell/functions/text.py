@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Page furniture, repaired byte sequences, ligature control characters, glyph ids of the PDF text layer.
+# Page furniture, repaired byte sequences, glyph numbers of the PDF text layer.
 FOOTER = r"Page \d+ of \d+"
-CONTINUED = r"(?i)^.*(?:\.\.\.|…)?\s*continue[sd] (?:on next|from previous) page.*$"
+CONTINUED = r"(?i)^.*(?:\.\s?\.\s?\.\s?)?continue[sd] (?:on next|from previous) page.*$"
 EXPORT_FOOTER = r"Web Application Scanning Detailed Scan Export:[^\n]*"
-REPAIRS = {"â€™": "'", "â€œ": '"', "â€\x9d": '"', "â€“": "-"}
-LIGATURES = {16: " ", 17: '"', 27: "ff", 28: "fi", 29: "fl", 30: "ffi", 31: "ffl"}
+REPAIRS = {"ÔåÆ": "->", "ÔÇÖ": "'", "ÔÇ£": '"', "ÔÇØ": '"'}
+GLYPHS = {16: '"', 17: '"', 27: "ff", 28: "fi", 29: "fl", 30: "ffi", 31: "ffl"}
 CONTROL = r"[\x00-\x08\x0b-\x1f\x7f]"
 
 
 def keep_line(line: Column) -> Column:
     """False for page footers and continuation notes."""
-    return ~F.regexp_like(line, F.lit(FOOTER)) & ~F.regexp_like(line, F.lit(CONTINUED))
+    return ~F.regexp_like(line, F.lit(FOOTER)) & ~F.regexp_like(F.regexp_replace(line, r"^\s+|\s+$", ""), F.lit(CONTINUED))
 
 
 def clean_line(line: Column) -> Column:
@@ -33,14 +33,21 @@ def clean_page(page: Column) -> Column:
     return F.concat(F.regexp_replace(F.array_join(lines, "\n"), r"\s+$", ""), F.lit("\n"))
 
 
-def clean_text(text: Column) -> Column:
-    """Ligatures written out, control characters dropped, words rejoined that a line break split."""
+def clean_text(text: Column, compose=None) -> Column:
+    """Glyph numbers written out, control characters dropped, words rejoined that a line break split.
+
+    compose: what brings characters to their compatible form (similarity.nfkc), where that is wanted.
+    """
     out = text
-    for code, written in LIGATURES.items():
-        out = F.replace(out, F.lit(chr(code)), F.lit(written))
-    out = F.regexp_replace(F.regexp_replace(out, CONTROL, ""), EXPORT_FOOTER, "")
-    out = F.regexp_replace(F.regexp_replace(out, r"\n[ \t]*\(cid:44\)", ""), r"\(cid:\d+\)", "")
-    return F.regexp_replace(out, r"(?U)(\w)-\n[ \t]*(\w)", "$1$2")
+    for number, written in GLYPHS.items():
+        out = F.replace(out, F.lit(chr(number)), F.lit(written))
+    out = F.regexp_replace(out, CONTROL, "")
+    out = compose(out) if compose else out
+    out = F.regexp_replace(out, r"\n[ \t]*\(cid:44\)→", "")
+    for number, written in GLYPHS.items():
+        out = F.replace(out, F.lit(f"(cid:{number})"), F.lit(written))
+    out = F.regexp_replace(out, r"\(cid:\d+\)", "")
+    return F.regexp_replace(F.regexp_replace(out, r"(?U)(\w)-\n[ \t]*(\w)", "$1$2"), EXPORT_FOOTER, "")
 
 
 def normal_name(name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwell.functions.similarity import nfkc
 from siftwell.functions.text import clean_page, clean_text
 
 RECORD = """name string, description array<string>, solution array<string>, impact array<string>, references array<string>, severity string, host string, port string, protocol string, source string"""
@@ -17,7 +18,7 @@ def report_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> Data
     file = F.col("_metadata.file_path")
     rows = rows.select(file.alias("report_id"), F.regexp_extract(file, r"([^/]+?)(\.[^./]*)?$", 1).alias("stem"), F.col("value").alias("raw"))
     pages = F.transform(F.split("raw", "\f", -1), lambda p: clean_page(p))
-    return rows.select("report_id", "stem", clean_text(F.array_join(pages, "")).alias("text"), F.size(pages).alias("page_count"))
+    return rows.select("report_id", "stem", clean_text(F.array_join(pages, ""), nfkc).alias("text"), F.size(pages).alias("page_count"))
 
 
 def empty_reports(reports: DataFrame) -> DataFrame:

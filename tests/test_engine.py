@@ -158,6 +158,8 @@ def test_scores(spark):
     assert one(spark, similarity.exact(F.col("a"), F.col("b")), a="8019", b="8019.0") == 1 and one(spark, similarity.exact(F.col("a"), F.col("b")), a="Tcp ", b="tcp") == 1
     for other in ("CVE 2020-1234", "cve: 2020 1234", "CVE-2020-1234"):
         assert one(spark, similarity.set_f1_ids(F.col("a"), F.col("b")), a="cve-2020-1234", b=other) == 1
+    for a, b in [("BID:32668, 32669", "bid 32669\nBID 32668"), ("https://x.example/a/", "see https://x.example/a"), ("2021-A1", "OWASP 2021-a1"), ("WASC Cross Site, Buffer", "wasc buffer\nWASC cross site")]:
+        assert one(spark, similarity.set_f1_ids(F.col("a"), F.col("b")), a=a, b=b) == 1, a
     df = spark.createDataFrame([("", " "), ("x", ""), ("x", "x")], "a string, b string")
     score, vacuous = similarity.pair_score(F.lit(0.5), F.col("a"), F.col("b"))
     assert [(r.s, r.v) for r in df.select(score.alias("s"), vacuous.alias("v")).collect()] == [(1.0, True), (0.0, False), (0.5, False)]
@@ -251,7 +253,8 @@ def test_exports(spark):
 
 def test_cleaning(spark):
     assert one(spark, text.clean_page(F.col("t")), t="a\tb   c\nPage 1 of 3\nx continued on next page\nend  \n\n") == "a b c\nend\n"
-    assert one(spark, text.clean_text(F.col("t")), t="o\x1bice exam-\n ple\x07") == "office example"
+    assert one(spark, text.clean_text(F.col("t")), t="o\x1bice exam-\n ple\x07 (cid:28)x(cid:99) wra\n  (cid:44)→pped\r") == "office example fix wrapped"
+    assert one(spark, text.clean_page(F.col("t")), t="a ÔåÆ b\n . . . continues on next page ...") == "a -> b\n"
     assert one(spark, text.normal_name(F.col("t")), t="  A  b\n") == "a b" and one(spark, text.slug(F.col("t")), t="--A b!c--") == "A-b-c"
     assert one(spark, similarity.nfkc("t"), t="ﬁ") == "fi"
 
