@@ -14,6 +14,11 @@ GLYPHS = {16: '"', 17: '"', 27: "ff", 28: "fi", 29: "fl", 30: "ffi", 31: "ffl"}
 CONTROL = r"[\x00-\x08\x0b-\x1f\x7f]"
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with the value worked out once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def keep_line(line: Column) -> Column:
     """False for page footers and continuation notes."""
     return ~F.regexp_like(line, F.lit(FOOTER)) & ~F.regexp_like(F.regexp_replace(line, r"^\s+|\s+$", ""), F.lit(CONTINUED))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import once
 from siftwell.plans.staging import stage
 
 LIKELY = 0.10
@@ -68,18 +69,22 @@ def _number(dotted: str) -> int:
 
 def exposure(host: Column) -> Column:
     """internal where the host is surely private, else exposed."""
-    name = hostname(host)
-    octets = F.transform(F.split(name, r"\."), lambda x: x.try_cast("long"))
-    is_ip = F.regexp_like(name, F.lit(r"^(0|[1-9]\d{0,2})(\.(0|[1-9]\d{0,2})){3}$")) & F.forall(octets, lambda x: x <= 255)
-    number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    private = F.lit(False)
-    for low, high in INTERNAL_RANGES:
-        private = private | number.between(_number(low), _number(high))
-    named = ~F.contains(name, F.lit(".")) | F.regexp_like(name, F.lit("(" + "|".join(s.replace(".", r"\.") for s in INTERNAL_SUFFIXES) + ")$"))
-    v6_private = F.regexp_like(name, F.lit(r"^(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)$"))
-    v6 = F.regexp_like(name, F.lit(r"^[0-9a-f:]*::?[0-9a-f:.]*$")) & F.contains(name, F.lit(":"))
-    inside = F.when(is_ip, private).when(v6, v6_private).otherwise(named)
-    return F.when(F.coalesce(name, F.lit("")) == "", "exposed").when(inside, "internal").otherwise("exposed")
+
+    def private(number: Column) -> Column:
+        out = F.lit(False)
+        for low, high in INTERNAL_RANGES:
+            out = out | number.between(_number(low), _number(high))
+        return out
+
+    def inside(name: Column) -> Column:
+        is_ip = F.regexp_like(name, F.lit(r"^(0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])(\.(0|[1-9]\d?|1\d\d|2[0-4]\d|25[0-5])){3}$"))
+        number = F.aggregate(F.split(name, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
+        named = ~F.contains(name, F.lit(".")) | F.regexp_like(name, F.lit("(" + "|".join(s.replace(".", r"\.") for s in INTERNAL_SUFFIXES) + ")$"))
+        v6 = F.regexp_like(name, F.lit(r"^[0-9a-f:]*::?[0-9a-f:.]*$")) & F.contains(name, F.lit(":"))
+        v6_private = F.regexp_like(name, F.lit(r"^(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)$"))
+        return F.when(name == "", False).when(is_ip, once(number, private)).when(v6, v6_private).otherwise(named)
+
+    return F.when(once(F.coalesce(hostname(host), F.lit("")), inside), "internal").otherwise("exposed")
 
 
 def band(cvss: Column, severity: Column) -> Column:
