@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftwell.functions.similarity import indel_ratio, lcs, ratio_bound
+from siftwell.functions.similarity import indel_ratio, ratio_bound
 from siftwell.functions.text import normal_name
 
 THRESHOLD, CONFLICT = 0.7, 0.9
@@ -49,40 +50,55 @@ def pair_similarity(ext: DataFrame, base: DataFrame, run: str = "run_id") -> Dat
     return same.select(*cols).unionByName(other.select(*cols))
 
 
-def best_assignment(cost: list[list[float]]) -> list[tuple[int, int]]:
+def best_assignment(cost) -> list[tuple[int, int]]:
     """Rows to columns at least cost (no more rows than columns), by shortest augmenting paths with potentials."""
-    n, m = len(cost), len(cost[0]) if cost else 0
-    up, vp, owner, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    cost = np.asarray(cost, dtype="float64")
+    n, m = len(cost), cost.shape[1] if cost.ndim == 2 else 0
+    up, vp, owner, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype="int64"), np.zeros(m + 1, dtype="int64")
     for row in range(1, n + 1):
         owner[0], col = row, 0
-        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool)
         while True:
             used[col] = True
-            r, delta, then = owner[col], float("inf"), 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    c = cost[r - 1][j - 1] - up[r] - vp[j]
-                    if c < least[j]:
-                        least[j], way[j] = c, col
-                    if least[j] < delta:
-                        delta, then = least[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    up[owner[j]] += delta
-                    vp[j] -= delta
-                else:
-                    least[j] -= delta
-            col = then
+            c = cost[owner[col] - 1] - up[owner[col]] - vp[1:]
+            nearer = ~used[1:] & (c < least[1:])
+            least[1:][nearer], way[1:][nearer] = c[nearer], col
+            open_ = np.where(used, np.inf, least)
+            col = int(open_[1:].argmin()) + 1
+            delta = open_[col]
+            up[owner[used]] += delta
+            vp[used] -= delta
+            least[~used] -= delta
             if not owner[col]:
                 break
         while col:
             owner[col] = owner[way[col]]
-            col = way[col]
-    return sorted((owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j])
+            col = int(way[col])
+    return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j])
 
 
-def name_similarity(a: str, b: str) -> float:
-    return 1.0 if a == b else 2.0 * lcs(a, b) / (len(a) + len(b))
+def common_lengths(names: list[str], others: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each name and each other.
+
+    The others lie side by side in one word, each with a spare bit that takes its carry, so a step serves all of them.
+    """
+    places: dict[str, int] = {}
+    starts, at, full = [], 0, 0
+    for other in others:
+        starts.append(at)
+        for i, x in enumerate(other):
+            places[x] = places.get(x, 0) | 1 << at + i
+        full |= (1 << len(other)) - 1 << at
+        at += len(other) + 1
+    lengths, known = np.array([len(x) for x in others], dtype="int64"), {}
+    for name in set(names):
+        row = full
+        for x in name:
+            match = row & places.get(x, 0)
+            row = ((row + match) | (row - match)) & full
+        bits = np.unpackbits(np.frombuffer(row.to_bytes((at + 7) // 8, "little"), dtype="uint8"), bitorder="little")
+        known[name] = lengths - np.add.reduceat(bits[:at].astype("int64"), starts)
+    return np.array([known[x] for x in names])
 
 
 def assign(ext: DataFrame, base: DataFrame, run: str = "run_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -98,17 +114,15 @@ def assign(ext: DataFrame, base: DataFrame, run: str = "run_id", threshold: floa
             return none
         e, b = e.sort_values("idx").reset_index(drop=True), b.sort_values("idx").reset_index(drop=True)
 
-        def score(i: int, j: int) -> float:
-            if e.norm_name[i] == b.norm_name[j]:
-                return 1.0 if all(x == "*" or y == "*" or x == y for x, y in zip(e.parts[i], b.parts[j])) else CONFLICT
-            return CONFLICT * name_similarity(e.norm_name[i], b.norm_name[j])
-
-        matrix = [[score(i, j) for j in range(len(b))] for i in range(len(e))]
-        if len(e) <= len(b):
-            pairs = best_assignment([[-s for s in row] for row in matrix])
-        else:
-            pairs = [(i, j) for j, i in best_assignment([[-matrix[i][j] for i in range(len(e))] for j in range(len(b))])]
-        rows = [(e[run][0], int(e.idx[i]), int(b.idx[j]), matrix[i][j]) for i, j in pairs if matrix[i][j] >= threshold]
+        # Equal names have a ratio of 1, so they differ from others only where the parts agree.
+        sizes = np.array([len(x) for x in e.norm_name])[:, None] + np.array([len(x) for x in b.norm_name])[None, :]
+        matrix = CONFLICT * (2.0 * common_lengths(list(e.norm_name), list(b.norm_name)) / np.maximum(sizes, 1))
+        places = b.groupby("norm_name").indices
+        for i, name in enumerate(e.norm_name):
+            for j in places.get(name, ()):
+                matrix[i, j] = 1.0 if all(x == "*" or y == "*" or x == y for x, y in zip(e.parts[i], b.parts[j])) else CONFLICT
+        pairs = best_assignment(-matrix) if len(e) <= len(b) else [(i, j) for j, i in best_assignment(-matrix.T)]
+        rows = [(e[run][0], int(e.idx[i]), int(b.idx[j]), float(matrix[i, j])) for i, j in pairs if matrix[i, j] >= threshold]
         return pd.DataFrame(rows, columns=[run, "ext_idx", "base_idx", "similarity"]) if rows else none
 
     kind = dict(ext.dtypes)[run]

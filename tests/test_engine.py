@@ -313,3 +313,37 @@ def test_instances_of_web_blocks(spark):
     assert (a.request_method, a.http_protocol, a.http_status_code, a.response_content_type) == ("GET", "HTTP/1.1", 200, "text/html") and b.instance == "https://x/b"
     base = spark.createDataFrame([(10, "n"), (11, "m")], "plugin long, name string")
     assert {r.plugin: len(r.instances) for r in rules.annotated(base, df).collect()} == {10: 2, 11: 0}
+
+
+def test_common_lengths_of_many_names():
+    rng = random.Random(5)
+    names = ["", "a", "abc" * 40] + ["".join(rng.choice("abcé ") for _ in range(rng.randint(0, 70))) for _ in range(40)]
+    got = align.common_lengths(names, names[::-1])
+    assert [[int(x) for x in row] for row in got] == [[similarity.lcs(a, b) for b in names[::-1]] for a in names]
+
+
+def test_assignment_query_takes_every_finding(spark, tmp_path):
+    """Suppliers and ids of any remainder take part, and the pairs are the best of all permutations."""
+    import datetime
+
+    from siftwell import queries
+
+    rng = random.Random(7)
+    parts = [(k, rng.choice(["open port", "weak cipher", "old server"]) + f" {k}", rng.choice(["SMALL TIN", "LARGE TIN"])) for k in range(1, 30)]
+    rows = [(order, rng.randint(1, 29), supplier, line, 5.0, "A", datetime.date(1995, 1, 1), 1.0, 0.0) for supplier in (3, 10, 14) for order, line in ((2, 1), (4, 2), (6, 3), (8, 1), (3, 1), (5, 2), (7, 3), (9, 1), (11, 2))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate date, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    e, b = (df.collect() for df in queries._sides(spark, str(tmp_path)))
+    got = queries.align_assignment(spark, str(tmp_path)).collect()
+
+    def score(x, y):
+        if x.norm_name == y.norm_name:
+            return 1.0 if all(p == "*" or q == "*" or p == q for p, q in zip(x.parts, y.parts)) else 0.9
+        return 0.9 * 2 * similarity.lcs(x.norm_name, y.norm_name) / (len(x.norm_name) + len(y.norm_name))
+
+    for supplier in (3, 10, 14):
+        x, y = ([r for r in side if r.run_id == supplier] for side in (e, b))
+        assert len(x) == 4 and len(y) == 5
+        chosen = max(itertools.permutations(range(5), 4), key=lambda p: sum(score(x[i], y[j]) for i, j in enumerate(p)))
+        best = sorted(s for s in (score(x[i], y[j]) for i, j in enumerate(chosen)) if s >= align.THRESHOLD)
+        assert sorted(r.similarity for r in got if r.run_id == supplier) == pytest.approx(best)
