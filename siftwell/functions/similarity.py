@@ -28,7 +28,20 @@ def set_f1(a: Column, b: Column) -> Column:
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of the multisets of tokens."""
     x, y = tokens(a), tokens(b)
-    common = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, t: n + F.least(F.size(F.filter(x, lambda u: u == t)), F.size(F.filter(y, lambda u: u == t))))
+    none = F.lit(0).cast("long")
+    start = F.struct(F.lit("").alias("word"), none.alias("left"), none.alias("right"), none.alias("common"))
+
+    def add(acc: Column, t: Column) -> Column:
+        same = acc["word"] == t["word"]
+        return F.struct(
+            t["word"].alias("word"), (F.when(same, acc["left"]).otherwise(none) + F.when(t["mine"], 1).otherwise(0)).alias("left"), (F.when(same, acc["right"]).otherwise(none) + F.when(t["mine"], 0).otherwise(1)).alias("right"),
+            F.when(same, acc["common"]).otherwise(acc["common"] + F.least(acc["left"], acc["right"])).alias("common"),
+        )
+
+    # Sorted, equal tokens of both sides stand together: one pass counts them.
+    marked = lambda side, mine: F.transform(side, lambda t: F.struct(t.alias("word"), F.lit(mine).alias("mine")))
+    both = F.sort_array(F.concat(marked(x, True), marked(y, False)))
+    common = F.aggregate(both, start, add, lambda acc: acc["common"] + F.least(acc["left"], acc["right"]))
     return f1(common, F.size(x), F.size(y))
 
 

@@ -198,7 +198,7 @@ _WORDS = """a AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 400)
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(400)).alias("a"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"))
     return docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
 
 
@@ -207,12 +207,20 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     common AS (SELECT ca.doc_id, sum(least(ca.n, cb.n)) AS k FROM ca JOIN cb ON ca.doc_id = cb.doc_id AND ca.w = cb.w GROUP BY ca.doc_id)
     SELECT s.doc_id, CASE WHEN coalesce(k, 0) > 0 THEN round(2.0 * k / n, 6) ELSE 0.0 END AS token_f1 FROM sizes s LEFT JOIN common c ON c.doc_id = s.doc_id""")
 def score_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first 400 characters, as the SQL says; score_tokens_whole has whole texts."""
+    a, b = F.left("a", F.lit(400)), F.left("b", F.lit(400))
+    return _neighbours(spark, sf_dir).select("doc_id", F.round(similarity.token_f1(a, b), 6).alias("token_f1"))
+
+
+@query("score_tokens_whole")
+def score_tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 of the tokens of neighbouring documents' whole texts; tested against counted words."""
     return _neighbours(spark, sf_dir).select("doc_id", F.round(similarity.token_f1(F.col("a"), F.col("b")), 6).alias("token_f1"))
 
 
 @query("score_sequences")
 def score_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ROUGE-L and character ratios of neighbouring documents; tested against the quadratic definition."""
+    """ROUGE-L and character ratios of neighbouring whole documents; tested against the quadratic definition."""
     return _neighbours(spark, sf_dir).select("doc_id", similarity.rouge_l("a", "b").alias("rouge_l"), similarity.indel_ratio("a", "b").alias("ratio"))
 
 

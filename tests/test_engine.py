@@ -347,3 +347,35 @@ def test_assignment_query_takes_every_finding(spark, tmp_path):
         chosen = max(itertools.permutations(range(5), 4), key=lambda p: sum(score(x[i], y[j]) for i, j in enumerate(p)))
         best = sorted(s for s in (score(x[i], y[j]) for i, j in enumerate(chosen)) if s >= align.THRESHOLD)
         assert sorted(r.similarity for r in got if r.run_id == supplier) == pytest.approx(best)
+
+
+def test_scores_of_whole_texts(spark, tmp_path):
+    """Texts that agree in their first 400 characters only; scores follow all of them."""
+    import re
+    from collections import Counter
+
+    from siftwell import queries
+
+    rng = random.Random(2)
+    head = "same words here " * 30
+    texts = [head + " ".join(rng.choice(["Alpha", "beta", "gamma", "é", "d1"]) for _ in range(k)) for k in (120, 200, 0, 90)] + ["", None, "x y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = {r.doc_id: r.token_f1 for r in queries.score_tokens_whole(spark, str(tmp_path)).collect()}
+    prefix = {r.doc_id: r.token_f1 for r in queries.score_tokens(spark, str(tmp_path)).collect()}
+    scores = {r.doc_id: r for r in queries.score_sequences(spark, str(tmp_path)).collect()}
+
+    def plain(p, q):
+        row = [0] * (len(q) + 1)
+        for x in p:
+            last = 0
+            for j, y in enumerate(q, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return 2 * row[-1] / (len(p) + len(q)) if row[-1] else 0.0
+
+    for k, (a, b) in enumerate(zip(texts, texts[1:])):
+        a, b = a or "", b or ""
+        p, q = (re.findall("[a-z0-9]+", t.lower()) for t in (a, b))
+        for found, x, y in ((whole, p, q), (prefix, *(re.findall("[a-z0-9]+", t[:400].lower()) for t in (a, b)))):
+            n = sum((Counter(x) & Counter(y)).values())
+            assert found[k] == pytest.approx(2 * n / (len(x) + len(y)) if n else 0.0, abs=1e-6)
+        assert scores[k].rouge_l == pytest.approx(plain(p, q)) and scores[k].ratio == pytest.approx(1.0 if a == b else plain(a, b))
