@@ -1,11 +1,14 @@
 """Document fingerprints by a homomorphic multiset hash; DataFrame functions only.
 
-A text falls into passages (lines, cut again behind the punctuation marks that a blank follows; each keeps its end, so
-passages joined are the text). Each passage is hashed to a wide vector and the vectors are summed
+A text falls into passages (lines, cut again behind the punctuation marks that a blank follows and behind words of six
+letters or more; each keeps its end, so passages joined are the text). Each passage is hashed to a wide vector and the vectors are summed
 modulo 2^32 in each place. So the order of passages doesn't matter, and a passage is put in or taken out by adding or
 subtracting its vector. The vector has `DENSE` places that every passage fills, for equality, and `LEVELS` x `BUCKETS`
-places of which a passage fills one: its hash says which, and each level gets an eighth of what is left. The likeness of
-two fingerprints is the share of equal places among those that either fills, on the first level that isn't crowded.
+places of which a passage fills one: its hash says which, and each level gets an eighth of what is left. A filled place
+also counts its passages (in its lowest bits, so it stays a sum). The likeness of two fingerprints is the share of
+passages in common, repeats counted: places of one content, in multiples of it, hold common passages; what lies unseen in
+places of mixed contents is made up for by the share of such places. It is summed over all levels that aren't crowded:
+over all passages of most texts, and over an eighth or less of very long ones.
 
 Null and empty texts have the fingerprint of no passages, all zeros. The next document is the next by doc_id (a null id
 first, rows with one id by a hash of their text), after the last the first. A single document is its own next.
@@ -17,9 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DENSE, LEVELS, BUCKETS, CROWDED = 8, 4, 16, 12
+SIDE = 16  # buckets are found by two hexadecimal digits
+DENSE, LEVELS, BUCKETS, CROWDED = 8, 4, SIDE * SIDE, 192
 MASK = (1 << 32) - 1
-PASSAGE_END = r"(?<=\n)|(?<=[.!?,;|] )"
+PASSAGE_END = r"(?<=\n)|(?<= )(?<=[.!?,;|] |\p{L}{6} )"
+COUNT = 12  # lowest bits of a bucket's sum that count its passages
 
 
 def passages(text: Column) -> Column:
@@ -36,31 +41,42 @@ def _digit(level: int, zero: bool):
     return lambda h: (h.bitwiseAND(F.lit(last)) == 0) if zero else (h.bitwiseAND(F.lit(last)) != 0)
 
 
-def _bucket_sum(hashes: Column):
-    own = lambda h: F.shiftright(h, 12).bitwiseAND(F.lit(BUCKETS - 1))
-    return lambda j: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: F.when(own(h) == j, (a + F.shiftrightunsigned(h, 32)).bitwiseAND(F.lit(MASK))).otherwise(a))
-
-
 def _let(value: Column, use) -> Column:
     """use(value) with the value worked out once, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def vector(parts: Column) -> Column:
-    """The sum of the vectors of an array of passages."""
+def _bucket_sums(hashes: Column) -> Column:
+    """The sum of each bucket; the hashes are parted by one digit first, so that each is looked at 2 * SIDE times."""
+    digit = lambda h, shift: F.shiftright(h, shift).bitwiseAND(F.lit(SIDE - 1))
+    each = lambda: F.sequence(F.lit(0), F.lit(SIDE - 1))
+    total = lambda hs, j: F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: F.when(digit(h, 16) == j, (a + F.shiftleft(F.shiftrightunsigned(h, 32 + COUNT), COUNT) + 1).bitwiseAND(F.lit(MASK))).otherwise(a))
+    empty = lambda n: F.array_repeat(F.lit(0).cast("long"), n)
+    part = lambda i: _let(F.filter(hashes, lambda h: digit(h, 12) == i), lambda hs: F.when(F.size(hs) == 0, empty(SIDE)).otherwise(F.transform(each(), lambda j: total(hs, j))))
+    return F.when(F.size(hashes) == 0, empty(BUCKETS)).otherwise(F.flatten(F.transform(each(), part)))
+
+
+def dense(parts: Column) -> Column:
+    return F.array(*[_sum(parts, lambda x, k=k: F.xxhash64(F.lit(k), x).bitwiseAND(F.lit(MASK))) for k in range(DENSE)])
+
 
-    def dense(p: Column) -> list[Column]:
-        return [_sum(p, lambda x, k=k: F.xxhash64(F.lit(k), x).bitwiseAND(F.lit(MASK))) for k in range(DENSE)]
+def levels(parts: Column) -> Column:
+    """The buckets of all levels, one after the other."""
 
-    def levels(hashes: Column) -> list[Column]:
+    def of(hashes: Column) -> Column:
         out = []
         for level in range(LEVELS):
             here = hashes if level == 0 else F.filter(hashes, _digit(level - 1, True))
             here = here if level == LEVELS - 1 else F.filter(here, _digit(level, False))
-            out.append(_let(here, lambda hs: F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), _bucket_sum(hs))))
-        return out
+            out.append(_let(here, _bucket_sums))
+        return F.concat(*out)
 
-    return _let(parts, lambda p: F.concat(F.array(*dense(p)), _let(F.transform(p, lambda x: F.xxhash64(x)), lambda hs: F.concat(*levels(hs)))))
+    return _let(F.transform(parts, lambda x: F.xxhash64(x)), of)
+
+
+def vector(parts: Column) -> Column:
+    """The sum of the vectors of an array of passages."""
+    return _let(parts, lambda p: F.concat(dense(p), levels(p)))
 
 
 def shown(v: Column) -> Column:
@@ -73,17 +89,29 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal vectors, else the share of equal places on the first level that isn't crowded."""
+    """1 for equal levels, else the share of passages in common, from all levels that aren't crowded; a, b: levels()."""
+    n = lambda v: v.bitwiseAND(F.lit((1 << COUNT) - 1))
+    none = F.lit(0).cast("long")
+    start = F.struct(none.alias("all"), none.alias("common"), none.alias("mixed"))
+
+    def add(acc: Column, p: Column) -> Column:
+        x, y = n(p["x"]), n(p["y"])
+        alike = (p["x"] != 0) & (p["y"] != 0) & ((p["x"] * y - p["y"] * x).bitwiseAND(F.lit(MASK)) == 0)
+        return F.struct((acc["all"] + x + y).alias("all"), (acc["common"] + F.when(alike, F.least(x, y)).otherwise(none)).alias("common"), (acc["mixed"] + F.when(alike, none).otherwise(none + 1)).alias("mixed"))
+
+    def counted(acc: Column) -> Column:
+        use = acc["mixed"] <= CROWDED
+        return F.struct(F.when(use, acc["all"]).otherwise(none).alias("all"), F.when(use, F.least(acc["common"] * F.lit(float(BUCKETS)) / F.greatest(BUCKETS - acc["mixed"], F.lit(1)), acc["all"] / F.lit(2.0))).otherwise(0.0).alias("common"))
+
+    def level_counts(both: Column) -> Column:
+        return F.aggregate(F.filter(both, lambda p: (p["x"] != 0) | (p["y"] != 0)), start, add, counted)
 
-    def level_share(both: Column) -> Column:
-        out = None
-        for level in reversed(range(LEVELS)):
-            used = F.filter(F.slice(both, DENSE + level * BUCKETS + 1, BUCKETS), lambda p: (p["x"] != 0) | (p["y"] != 0))
-            share = F.coalesce(F.try_divide(F.size(F.filter(used, lambda p: p["x"] == p["y"])).cast("double"), F.size(used)), F.lit(0.0))
-            out = share if out is None else F.when(F.size(used) <= CROWDED, share).otherwise(out)
-        return out
+    def share(counts: Column) -> Column:
+        total = lambda c: F.aggregate(counts, F.lit(0.0), lambda m, x: m + x[c])
+        return F.coalesce(F.try_divide(total("common"), total("all") - total("common")), F.lit(0.0))
 
-    return F.when(a == b, F.lit(1.0)).otherwise(_let(F.arrays_zip(a.alias("x"), b.alias("y")), level_share))
+    by_level = lambda both: F.array(*[level_counts(F.slice(both, k * BUCKETS + 1, BUCKETS)) for k in range(LEVELS)])
+    return F.when(a == b, F.lit(1.0)).otherwise(_let(_let(F.arrays_zip(a.alias("x"), b.alias("y")), by_level), share))
 
 
 def _bucket(key: Column, bounds: list[int]) -> Column:
@@ -99,7 +127,7 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text, vector, next_vector; documents meet their next without one task that sorts all."""
+    """doc_id, text, next_text; documents meet their next without one task that sorts all."""
     spark = docs.sparkSession
     n = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)])).first()[0] or []  # n numbers, whatever the rows
@@ -110,20 +138,24 @@ def with_next(docs: DataFrame) -> DataFrame:
     # The first document of each bucket follows the last of the one before.
     ids = rows.groupBy("bucket").agg(F.min("doc_id").alias("first_id")).withColumnRenamed("bucket", "of")
     heads = rows.join(F.broadcast(ids), (rows.bucket == ids.of) & rows.doc_id.eqNullSafe(ids.first_id)).groupBy("bucket").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("head"))
-    heads = heads.withColumn("vector", vector(passages(F.col("head"))))
     turn = W.orderBy("bucket")  # a row for each of at most n + 1 buckets
     every = W.partitionBy().orderBy("bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     after = lambda c: F.coalesce(F.lead(c).over(turn), F.first(c).over(every))
-    heads = heads.select(F.col("bucket").alias("of"), after("head").alias("after"), after("vector").alias("after_vector"))
-    led = rows.withColumn("led", F.lead("text").over(within)).withColumn("vector", vector(passages(F.col("text")))).withColumn("led_vector", F.lead("vector").over(within))
-    return led.join(heads, led.bucket == heads.of).select("doc_id", "text", F.coalesce("led", "after").alias("next_text"), "vector", F.coalesce("led_vector", "after_vector").alias("next_vector"))
+    heads = heads.select(F.col("bucket").alias("of"), after("head").alias("after"))
+    led = rows.withColumn("led", F.lead("text").over(within))
+    return led.join(heads, led.bucket == heads.of).select("doc_id", "text", F.coalesce("led", "after").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and the likenesses to that and to the next document."""
     k = F.floor(F.col("n_chars") / 4).cast("int")
     rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
-    rows = rows.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - k), F.left("next_text", k))).withColumn("edited_vector", vector(passages(F.col("edited"))))
+    rows = rows.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - k), F.left("next_text", k)))
+    # Vectors are worked out behind the exchange: they are wider than most texts.
+    for c in ("text", "edited"):
+        rows = rows.withColumn(f"{c}_vector", vector(passages(F.col(c))))
+    rows = rows.withColumn("next_levels", levels(passages(F.col("next_text"))))
+    own = lambda c: F.slice(c, DENSE + 1, LEVELS * BUCKETS)
     return rows.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown(F.col("vector")).alias("fingerprint"), shown(F.col("edited_vector")).alias("edited_fingerprint"),
-        likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"), likeness(F.col("vector"), F.col("next_vector")).alias("near_next"))
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown(F.col("text_vector")).alias("fingerprint"), shown(F.col("edited_vector")).alias("edited_fingerprint"),
+        likeness(own("text_vector"), own("edited_vector")).alias("near_edited"), likeness(own("text_vector"), F.col("next_levels")).alias("near_next"))

@@ -338,6 +338,26 @@ def test_fingerprints_are_homomorphic(spark):
     assert r.sum == r.x and r.rest == r.z
 
 
+def test_likeness_follows_the_share_of_passages(spark):
+    """Texts of 2 to 3,000 passages of which a known part is exchanged."""
+    rng = random.Random(12)
+    piece = lambda: "".join(rng.choice("abcdefghij") for _ in range(9)) + ". "
+    rows = []
+    for n in (2, 4, 16, 20, 40, 100, 200, 600, 3000):
+        for kept in (0.5, 0.75):
+            own = [piece() for _ in range(n)]
+            other = own[: int(n * kept)] + [piece() for _ in range(n - int(n * kept))]
+            rng.shuffle(other)
+            rows.append((n, len(set(own) & set(other)) / len(set(own) | set(other)), "".join(own), "".join(other)))
+    line = piece()
+    rows.append((100, 0.5, line * 100, line * 50))
+    rows.append((1, 0.5, "a single line ofwords without anymarks inside butwords ofsome length\n", "a single line ofwords without anymarks otherwise thentotally differs aswell\n"))
+    df = spark.createDataFrame(rows, "n int, share double, a string, b string")
+    of = lambda c: fingerprints.levels(fingerprints.passages(F.col(c)))
+    for r in df.select("n", "share", of("a").alias("a"), of("b").alias("b")).select("n", "share", fingerprints.likeness(F.col("a"), F.col("b")).alias("near")).collect():
+        assert r.near > 0 if r.n == 1 else abs(r.near - r.share) < (0.12 if r.n <= 200 else 0.15), r
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
