@@ -1,16 +1,25 @@
-"""Rules as one deterministic automaton over bytes.
+"""Rules as one deterministic automaton over bytes that a scan passes once.
 
-Regular expressions (literals, classes, groups, alternatives, `?`, `*`, `+`, `{m}`, `{m,}`, `{m,n}`) become a
-nondeterministic automaton with empty moves, that a deterministic one by subset construction, and that a minimal one by
-splitting groups of states until all members of a group move alike. States are rows of 256 next rows, so a scan is one
-lookup a byte for all rules together.
+Regular expressions (literals, classes, groups, alternatives, `?`, `*`, `+`, `{m}`, `{m,}`, `{m,n}`) become
+nondeterministic automata with empty moves. Subset construction makes each a deterministic searcher: its states are the
+sets of places that the open attempts stand at, one set for each start, earliest first; once the earliest attempt matches,
+later ones go, and when it can't go on the match ends and the search begins anew. The searchers, each made minimal, run
+side by side as one automaton, which is made minimal too. Bytes that all rules treat alike share a column, so a state is
+an array of next states by kind of byte. A move on which matches end holds an `Ended` in place of the next state; a scan
+is one lookup a byte until it meets one.
+
+The end of a match is thereby known; its start is found by walking the reversed rule back from there, never beyond the
+end of the rule's match before, so both ways together take time in proportion to the text.
+
+Rules for which this isn't exact are refused: those in which a later attempt can match while an earlier one is undecided,
+and those that can go on after a match without matching at each further byte.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-ALL = frozenset(range(256))
+import numpy as np
 
 
 class _Parser:
@@ -134,111 +143,174 @@ class _Parser:
         return out
 
 
+class Ended:
+    """A move on which the matches of `rules` end before the byte; `row` is the next state."""
+
+    __slots__ = ("row", "rules")
+
+    def __init__(self, rules: tuple[int, ...], row: list):
+        self.rules, self.row = rules, row
+
+
+def _minimal(table: np.ndarray, marks: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """States that no text tells apart become one: groups split until all members of a group move alike."""
+    group = np.unique(marks, axis=0, return_inverse=True)[1].reshape(-1)
+    while True:
+        split = np.unique(np.column_stack([group, group[table]]), axis=0, return_inverse=True)[1].reshape(-1)
+        if split.max() == group.max():
+            break
+        group = split
+    some = np.unique(group, return_index=True)[1]
+    return group[table[some]], marks[some], int(group[first])
+
+
+class _Searcher:
+    """One rule: moves[state][kind] and ends[state][kind] (whether a match ends on that move); the last kind is the
+    end of the text. back: the reversed rule."""
+
+    def __init__(self, source: str, any_case: bool):
+        self.parser = _Parser()
+        self.first, self.last = self.parser.rule(source, any_case)
+        self.sets = sorted({m[0] for m in self.parser.moves if m}, key=sorted)
+
+    def _closed(self, states: Iterable[int], empty: list[list[int]]) -> frozenset[int]:
+        seen, todo = set(states), list(states)
+        while todo:
+            for t in empty[todo.pop()]:
+                if t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+        return frozenset(seen)
+
+    def build(self, samples: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+        moves, empty = self.parser.moves, self.parser.empty
+        fresh = self._closed([self.first], empty)
+        if self.last in fresh:
+            raise ValueError("a rule matches nothing at all")
+
+        def after(attempts: tuple, byte: int) -> tuple:
+            """The attempts after a byte; a place that an earlier attempt holds too is left to it."""
+            held: set[int] = set()
+            out = []
+            for places in attempts:
+                new = self._closed([moves[s][1] for s in places if moves[s] and byte in moves[s][0]], empty) - held
+                held |= new
+                if new:
+                    out.append(new)
+                if self.last in new:
+                    if len(out) > 1:
+                        raise ValueError("a later attempt can match before an earlier one is decided")
+                    break
+            return tuple(out)
+
+        matched = lambda state: bool(state) and self.last in state[0]
+        index, order, table, ends = {(): 0}, [()], [], []
+        for state in order:
+            to, end = [], []
+            for byte in samples:
+                then, done = after(state if matched(state) else (*state, fresh), byte), False
+                if matched(state):
+                    if then and not matched(then):
+                        raise ValueError("a match can go on without matching at each byte")
+                    if not then:
+                        then, done = after((fresh,), byte), True
+                if then not in index:
+                    index[then] = len(order)
+                    order.append(then)
+                to.append(index[then])
+                end.append(done)
+            table.append([*to, 0])
+            ends.append([*end, matched(state)])
+        return _minimal(np.array(table), np.array(ends), 0)
+
+    def backwards(self) -> tuple[list[dict | None], frozenset[int], int]:
+        """The reversed rule as an automaton that is made as far as texts need it."""
+        n = len(self.parser.moves)
+        into, empty = [[] for _ in range(n)], [[] for _ in range(n)]
+        for s, m in enumerate(self.parser.moves):
+            if m:
+                into[m[1]].append((m[0], s))
+            for t in self.parser.empty[s]:
+                empty[t].append(s)
+        return into, self._closed([self.last], empty), empty
+
+
+class _Back:
+    """Walks a rule back from the end of a match to its earliest start."""
+
+    def __init__(self, searcher: _Searcher):
+        into, start, empty = searcher.backwards()
+        self.into, self.empty, self.goal = into, empty, searcher.first
+        self.closed = searcher._closed
+        self.start = [None] * 256 + [start]  # by byte the state before it, then the places it stands for
+        self.known = {start: self.start}
+
+    def _before(self, row: list, byte: int) -> list | bool:
+        places = self.closed([s for t in row[256] for chars, s in self.into[t] if byte in chars], self.empty)
+        found = self.known.setdefault(places, [None] * 256 + [places]) if places else False
+        row[byte] = found
+        return found
+
+    def earliest(self, data: bytes, end: int, low: int) -> int:
+        row, best = self.start, end
+        for at in range(end - 1, low - 1, -1):
+            row = row[data[at]] if row[data[at]] is not None else self._before(row, data[at])
+            if not row:
+                break
+            if self.goal in row[256]:
+                best = at
+        return best
+
+
 class Automaton:
-    """rows[k]: the next row for each byte; tags[k]: the rules that a scan which stands there has matched."""
-
-    def __init__(self, rules: Iterable[tuple[str, str, bool]], anywhere: bool):
-        """rules: (name, source, whether letters match in either case). anywhere: matches may begin at any byte, and
-        the first match of any rule is kept to the end of the scan."""
-        parser, start, ends = _Parser(), [], {}
-        for name, source, any_case in rules:
-            a, z = parser.rule(source, any_case)
-            start.append(a)
-            ends[z] = name
-        table, tags = self._subsets(parser, start, ends, anywhere)
-        table, tags, first = self._minimal(table, tags)
-        self.n_states = len(table)
-        self.rows: list[list] = [[] for _ in table]
-        for row, to in zip(self.rows, table):
-            row.extend(self.rows[k] for k in to)
-        self.start = self.rows[first]
-        self.tags = {id(row): tag for row, tag in zip(self.rows, tags)}
-        dead = [k for k, to in enumerate(table) if not tags[k] and set(to) == {k}]
-        self.dead = self.rows[dead[0]] if dead else None
-
-    @staticmethod
-    def _subsets(p: _Parser, start: list[int], ends: dict[int, str], anywhere: bool) -> tuple[list[list[int]], list[frozenset]]:
-        marks = sorted({frozenset(m[0]) for m in p.moves if m}, key=sorted)
+    """All rules, (name, source, whether letters match in either case), as one."""
+
+    def __init__(self, rules: Iterable[tuple[str, str, bool]]):
+        searchers = [_Searcher(source, any_case) for _, source, any_case in rules]
+        marks = sorted({s for x in searchers for s in x.sets}, key=sorted)
         kinds: dict[tuple[bool, ...], int] = {}
-        kind_of = [kinds.setdefault(tuple(b in m for m in marks), len(kinds)) for b in range(256)]
-        sample = [kind_of.index(k) for k in range(len(kinds))]
-
-        def closed(states: Iterable[int]) -> frozenset[int]:
-            seen, todo = set(states), list(states)
-            while todo:
-                for t in p.empty[todo.pop()]:
-                    if t not in seen:
-                        seen.add(t)
-                        todo.append(t)
-            return frozenset(s for s in seen if p.moves[s] or s in ends)
-
-        first = closed(start)
-        index, order, table = {first: 0}, [first], []
-        found = frozenset({-1})
-        for states in order:
+        self.kinds = bytes(kinds.setdefault(tuple(b in m for m in marks), len(kinds)) for b in range(256))
+        self.end = bytes([len(kinds)])
+        parts = [x.build([self.kinds.index(k) for k in range(len(kinds))]) for x in searchers]
+        self.back = [_Back(x) for x in searchers]
+        # Side by side: a state is a tuple of the searchers' states.
+        first = tuple(f for _, _, f in parts)
+        index, order, table, ends = {first: 0}, [first], [], []
+        moves, done = [t.tolist() for t, _, _ in parts], [e.tolist() for _, e, _ in parts]
+        bit = [1 << k for k in range(len(parts))]
+        for state in order:
+            rows = [m[s] for m, s in zip(moves, state)]
             to = []
-            for b in sample:
-                if anywhere and (states == found or any(s in ends for s in states)):
-                    after = found
-                else:
-                    after = closed([p.moves[s][1] for s in states if p.moves[s] and b in p.moves[s][0]])
-                    if anywhere:
-                        after = found if any(s in ends for s in after) else after | first
-                if after not in index:
-                    index[after] = len(order)
-                    order.append(after)
-                to.append(index[after])
-            table.append([to[k] for k in kind_of])
-        tags = [frozenset({"any"}) if s == found else frozenset(ends[x] for x in s if x in ends) for s in order]
-        return table, tags
-
-    @staticmethod
-    def _minimal(table: list[list[int]], tags: list[frozenset]) -> tuple[list[list[int]], list[frozenset], int]:
-        names: dict = {}
-        group = [names.setdefault(t, len(names)) for t in tags]
+            for then in zip(*rows):
+                if then not in index:
+                    index[then] = len(order)
+                    order.append(then)
+                to.append(index[then])
+            table.append(to)
+            ends.append([sum(b for b, e in zip(bit, now) if e) for now in zip(*(d[s] for d, s in zip(done, state)))])
+        table, ends, first = _minimal(np.array(table), np.array(ends), 0)
+        self.n_states, self.n_kinds = table.shape
+        rows: list[list] = [[] for _ in table]
+        for row, to, end in zip(rows, table.tolist(), ends.tolist()):
+            row.extend(Ended(tuple(k for k, b in enumerate(bit) if e & b), rows[t]) if e else rows[t] for t, e in zip(to, end))
+        self.first = rows[first]
+
+    def spans(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(rule's number, start, end) of each rule's leftmost-longest matches that don't overlap, by their ends."""
+        out: list[tuple[int, int, int]] = []
+        free = [0] * len(self.back)
+        row, n = self.first, len(data)
+        # A mark after the end makes every end be met by a further move.
+        left = iter(data.translate(self.kinds) + self.end * 2)
         while True:
-            names = {}
-            split = [names.setdefault((group[k], *[group[x] for x in to]), len(names)) for k, to in enumerate(table)]
-            if len(names) == len(set(group)):
-                break
-            group = split
-        n = len(set(group))
-        rows: list = [None] * n
-        out: list = [None] * n
-        for k, g in enumerate(group):
-            if rows[g] is None:
-                rows[g], out[g] = [group[x] for x in table[k]], tags[k]
-        return rows, out, group[0]
-
-    def any_in(self, data: bytes) -> bool:
-        """Whether any rule matches anywhere; one lookup a byte. For `anywhere` automata."""
-        row = self.start
-        for b in data:
-            row = row[b]
-        return bool(self.tags[id(row)])
-
-    def spans(self, data: bytes, names: list[str]) -> dict[str, list[tuple[int, int]]]:
-        """Leftmost-longest, non-overlapping matches of each rule, all rules in one walk. For anchored automata."""
-        out: dict[str, list[tuple[int, int]]] = {n: [] for n in names}
-        free = dict.fromkeys(names, 0)
-        start, dead, tags = self.start, self.dead, self.tags
-        begins = [start[b] is not dead for b in range(256)]
-        n = len(data)
-        for at in range(n):
-            if not begins[data[at]]:
-                continue
-            if all(at < f for f in free.values()):
-                continue
-            row, i, last = start, at, {}
-            while i < n:
-                row = row[data[i]]
-                if row is dead:
-                    break
-                i += 1
-                for t in tags[id(row)]:
-                    last[t] = i
-            for t, end in last.items():
-                if at >= free[t]:
-                    out[t].append((at, end))
-                    free[t] = end
-        return out
+            try:
+                for kind in left:
+                    row = row[kind]
+                return out
+            except TypeError:  # `row` is an Ended of the move before this one
+                at = n - left.__length_hint__()
+                for rule in row.rules:
+                    out.append((rule, self.back[rule].earliest(data, at, free[rule]), at))
+                    free[rule] = at
+                row = row.row
+                row = row[kind]
