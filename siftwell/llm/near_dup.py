@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.sp_codec import Store
-from siftwell.plans.staging import ship_package, stage
+from siftwell.plans.staging import drop, ship_package, stage
 
 WIDTH, SLOTS, CHUNKS, DISTANCE, BINS, BLOCK = 5, 64, 16, 31, 512, 1024
 #: A link: 100 * intersection >= LINK * union. The second sketch may be short of it by this much.
@@ -53,7 +53,7 @@ class Shingler:
     def __init__(self):
         import xxhash
 
-        self.words = Store(xxhash.xxh3_64_intdigest, 300_000)
+        self.words = Store(xxhash.xxh3_64_intdigest, 100_000)
         self.turns = [_mix(np.array([k + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] | np.uint64(1) for k in range(WIDTH)]
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -251,9 +251,11 @@ def components(links: DataFrame) -> DataFrame:
         near = labels.join(seen, "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         new = stage(near.join(jump, "comp", "left").select("node", "was", F.least(F.col("comp"), F.coalesce("next", "comp")).alias("comp")), "dup-labels")
-        labels = new.select("node", "comp")
+        drop(labels)
+        labels = new
         if not new.where("was <> comp").limit(1).count():
-            return labels
+            drop(edges)
+            return labels.select("node", "comp")
 
 
 def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:

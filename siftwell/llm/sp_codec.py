@@ -31,8 +31,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from siftwell.plans.staging import ship_package
 
 BLANK = "▁"
-#: Entries of each of the two generations of a worker's segment store.
-STORE = 500_000
+#: Entries of each of the two generations of a worker's stores; about 30 MB of a store at most.
+STORE = 60_000
 _SEGMENT = re.compile(r"[ ]*[^ \n]+|\n|[ ]+")
 
 
@@ -51,6 +51,10 @@ class Store(dict):
         self[key] = value
         return value
 
+    def release(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class MergeModel:
     """The pieces of a .model file of merge type, with encode() and decode()."""
@@ -83,9 +87,9 @@ class MergeModel:
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.text_of = {i: p for p, i in self.id.items()}
         self.widest = max(map(len, self.id))
-        self._chosen = Store(self._choose, 500_000)
+        self._chosen = Store(self._choose)
         self._shorter = Store(lambda piece: self._cut(piece[:-1]))
-        self._pairs = Store(self._compatible, 500_000)
+        self._pairs = Store(self._compatible)
         self.segments = Store(self._segment)
         self._grow()
         trie = ahocorasick.Automaton()
@@ -93,6 +97,11 @@ class MergeModel:
             trie.add_word(p, 0)
         self.longest = trie.longest_prefix
 
+    def release(self) -> None:
+        """Empty the stores: a worker outlives its task, and the next one's stage needs the memory."""
+        for store in (self._chosen, self._shorter, self._pairs, self.segments):
+            store.release()
+
     def _grow(self) -> None:
         """How each piece comes about: its place in merge order and the two parts of its last merge.
 
@@ -253,31 +262,40 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                got = [model.digest(t.as_py()) for t in part.column(text)]
-                flat = np.array(" ".join([x[1] for x in got]).split(), np.int32)
-                ends = np.cumsum([0] + [x[0] for x in got], dtype=np.int32)
-                new = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([x[2] for x in got], pa.string())]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *new], names=[*names, ids, "decoded"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    got = [model.digest(t.as_py()) for t in part.column(text)]
+                    flat = np.array(" ".join([x[1] for x in got]).split(), np.int32)
+                    ends = np.cumsum([0] + [x[0] for x in got], dtype=np.int32)
+                    new = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([x[2] for x in got], pa.string())]
+                    yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *new], names=[*names, ids, "decoded"])
+        finally:
+            model.release()
 
     return docs.select(*names).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens with the end id, and hashes of ids and of the decoded text."""
+    """Per row: doc_id, n_tokens with the end id, and hashes of ids and of the decoded text.
+
+    Rows that repeat are each answered; an empty table gives an empty one; columns beyond doc_id and text aren't read.
+    """
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, sha = load(path), hashlib.sha256
-        for batch in batches:
-            n, a, b = [], [], []
-            for t in batch.column(1):
-                k, ids, decoded = model.digest(t.as_py())
-                n.append(k)
-                a.append(sha(ids.encode()).hexdigest())
-                b.append(sha(decoded.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                n, a, b = [], [], []
+                for t in batch.column(1):
+                    k, ids, decoded = model.digest(t.as_py())
+                    n.append(k)
+                    a.append(sha(ids.encode()).hexdigest())
+                    b.append(sha(decoded.encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            model.release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # at most max_rows small rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Store(_slots, 200_000)
+        store = Store(_slots, 60_000)
         for b in batches:
             got = [_terms(store, t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
@@ -175,7 +175,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", into: str = "to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Machine.unpacked(model.value)
-        store = Store(_slots, 200_000)
+        store = Store(_slots, 60_000)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
