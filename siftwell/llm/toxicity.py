@@ -5,10 +5,17 @@ product of their vectors, so that an insult together with a group's mention can
 are lower-cased words and the first letters of longer words; only the text is used. A term's value is its share of the text's words, raised so that one word in `SHARE` counts fully. Every word of a text counts.
 
 Labels are learned from a sample of at most `max_rows` labelled documents (a parameter; the sample is the rows with the
-lowest hash of doc_id), and only terms that go with the label beyond chance get weights and vectors. Terms are counted
-by Spark; the sample's telling terms go to the driver. The model is fitted with AdaGrad in a fixed order, so reruns agree.
-
-Null and empty texts have no terms; they get the score of the bias alone.
+lowest hash of doc_id). A term gets a weight and a vector if it tells something about the label: alone (its presence goes
+with the label by `LEAST` standard deviations beyond chance), or together with another word: for each two words that `OFTEN`
+of the sample hold, the shares of toxic documents with both, one or none of them are compared, and both words stay if the
+interaction (both - first - second + none) is `PAIRED` standard deviations from 0. So words that say nothing alone are
+learned where they matter together. Terms are counted by Spark; the sample's telling terms go to the driver. The model is
+fitted with AdaGrad in a fixed order, so reruns agree.
+
+Defined results: null and empty texts have no terms; they get the score of the bias alone. A null doc_id is in no fold:
+held_out is false, and such labels aren't learned from. Rows that repeat a doc_id are each scored; repeated labels of a
+document count once each. Labels that are null are left out; without any label every score is one half. An empty table
+gives an empty one. Columns beyond doc_id and text are kept by score() as they are, but for one named as the score's.
 """
 
 from __future__ import annotations
@@ -23,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.sp_codec import Store
-from siftwell.plans.staging import ship_package, stage
+from siftwell.plans.staging import drop, ship_package, stage
 
 SLOTS, RANK, SHARE, MAX_ROWS = 1 << 20, 4, 40, 16_000
 #: How many standard deviations from chance a term must be to be learned.
 LEAST = 4.5
+#: The share of the sample that must hold a word for it to be paired (so paired words are at most the mean number of
+#: distinct words of a text over it), documents that each case of a pair needs, standard deviations of its interaction.
+OFTEN, CASES, PAIRED = 0.04, 10, 8.0
 #: Letters of a word's beginning that make terms of their own.
 STARTS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W_]+")
@@ -38,15 +48,52 @@ def _slots(word: str) -> bytes:
     return np.array([zlib.crc32(t.encode()) % SLOTS for t in terms], "<i4").tobytes()
 
 
+def _found(store: Store, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of a text's terms, their values, and the slots of its whole words."""
+    words = _WORD.findall((text or "").lower())
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64)
+    entries = [store[w] for w in words]
+    slots, n = np.unique(np.frombuffer(b"".join(entries), "<i4"), return_counts=True)
+    whole = np.unique(np.frombuffer(b"".join([e[:4] for e in entries]), "<i4"))
+    return slots.astype(np.int64), np.minimum(1.0, n * (SHARE / len(words))).astype(np.float32), whole.astype(np.int64)
+
+
 def _terms(store: Store, text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Slots of a text's terms and their values."""
     words = _WORD.findall((text or "").lower())
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    slots, n = np.unique(np.frombuffer(b"".join(map(store.__getitem__, words)), "<i4"), return_counts=True)
+    slots, n = np.unique(np.frombuffer(b"".join([store[w] for w in words]), "<i4"), return_counts=True)
     return slots.astype(np.int64), np.minimum(1.0, n * (SHARE / len(words))).astype(np.float32)
 
 
+def paired(words: list[np.ndarray], toxic: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Of the slots `often` (sorted), those whose interaction with another one goes with the label; words: slots of each text."""
+    n = len(often)
+    both, bad = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
+    for k in range(0, len(words), 512):
+        part = words[k : k + 512]
+        x = np.zeros((len(part), n), np.float32)
+        for i, w in enumerate(part):
+            x[i, np.searchsorted(often, w)] = 1
+        y = x[toxic[k : k + 512] > 0]
+        both += x.T @ x
+        bad += y.T @ y
+    total, rows = float((toxic > 0).sum()), float(len(words))
+    share = total / max(rows, 1)
+    alone, alone_bad = np.diag(both).copy(), np.diag(bad).copy()
+    hit = np.zeros(n, bool)
+    for i in range(n):  # a row of the matrices at a time
+        cases = [(both[i], bad[i]), (alone[i] - both[i], alone_bad[i] - bad[i]), (alone - both[i], alone_bad - bad[i])]
+        cases.append((rows - alone[i] - cases[2][0], total - alone_bad[i] - cases[2][1]))
+        enough = np.minimum.reduce([c for c, _ in cases]) >= CASES
+        p, q, r, s = (t / np.maximum(c, 1) for c, t in cases)
+        spread = share * (1 - share) * sum(1 / np.maximum(c, 1) for c, _ in cases)
+        hit[i] = (enough & (np.abs(p - q - r + s) >= PAIRED * np.sqrt(np.maximum(spread, 1e-12)))).any()
+    return often[hit]
+
+
 class Machine:
     def __init__(self, seed: int = 7):
         self.seed, self.bias, self.used = seed, 0.0, np.zeros(0, np.int64)
@@ -110,8 +157,8 @@ class Machine:
 
 
 def held_out(doc_id):
-    """crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """crc32 of the id as text, modulo 5, is 0; false for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
@@ -123,44 +170,54 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(_slots, 60_000)
+        packed = lambda arrays, kind: pa.array([a.astype(kind).tobytes() for a in arrays], pa.binary())
         for b in batches:
-            got = [_terms(store, t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([s.astype("<i4").tobytes() for s, _ in got], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in got], pa.binary())],
-                names=["doc_id", "toxic", "slots", "x"],
-            )
+            got = [_found(store, t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed([g[0] for g in got], "<i4"), packed([g[1] for g in got], "<f4"), packed([g[2] for g in got], "<i4")], names=["doc_id", "toxic", "slots", "x", "words"])
 
-    terms = stage(sample.mapInArrow(run, "doc_id long, toxic int, slots binary, x binary"), "tox-terms")
+    terms = stage(sample.mapInArrow(run, "doc_id long, toxic int, slots binary, x binary, words binary"), "tox-terms")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, bad = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        n, bad, whole = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
         for b in batches:
-            for y, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for y, s, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 slots = np.frombuffer(s, "<i4")  # distinct in a text
                 n[slots] += 1
                 bad[slots] += y
+                whole[np.frombuffer(w, "<i4")] += 1
         some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(bad[some])], names=["slot", "n", "bad"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some]), pa.array(bad[some]), pa.array(whole[some])], names=["slot", "n", "bad", "whole"])
 
     total = terms.agg(F.count("*").alias("rows"), F.coalesce(F.avg((F.col("toxic") > 0).cast("double")), F.lit(0.0)).alias("share")).first()
-    counts = terms.select((F.col("toxic") > 0).cast("int").alias("toxic"), "slots").mapInArrow(count, "slot int, n long, bad long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counts = terms.select((F.col("toxic") > 0).cast("int").alias("toxic"), "slots", "words").mapInArrow(count, "slot int, n long, bad long, whole long").groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "whole")])
     # A term tells if its presence goes with the label more than chance lets expect; at most SLOTS numbers.
     expected = F.col("n") * total["share"]
     spread = expected * (1 - total["share"]) * (total["rows"] - F.col("n")) / max(1, total["rows"] - 1)
-    telling = counts.where(F.abs(F.col("bad") - expected) >= LEAST * F.sqrt(spread + 0.25)).select("slot").toArrow().column(0).to_numpy()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.zeros(SLOTS, bool)
-        keep[telling] = True
-        for b in batches:
-            slots, x = [], []
-            for s, v in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                s = np.frombuffer(s, "<i4")
-                slots.append(s[keep[s]].tobytes())
-                x.append(np.frombuffer(v, "<f4")[keep[s]].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(slots, pa.binary()), pa.array(x, pa.binary())], names=["doc_id", "toxic", "slots", "x"])
-
-    rows = terms.mapInArrow(cut, "doc_id long, toxic int, slots binary, x binary").toArrow().sort_by("doc_id")
+    alone = F.abs(F.col("bad") - expected) >= LEAST * F.sqrt(spread + 0.25)
+    often = F.col("whole") >= max(CASES, OFTEN * total["rows"])
+    known = counts.select("slot", alone.alias("alone"), often.alias("often")).where("alone OR often").toArrow()
+    slots = known.column("slot").to_numpy()
+    telling, frequent = slots[known.column("alone").to_numpy()], np.sort(slots[known.column("often").to_numpy()])
+
+    def cut(keep_slots: np.ndarray, column: str):
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep = np.zeros(SLOTS, bool)
+            keep[keep_slots] = True
+            for b in batches:
+                slots, x = [], []
+                for s, v in zip(b.column(column).to_pylist(), b.column("x").to_pylist()):
+                    s = np.frombuffer(s, "<i4")
+                    slots.append(s[keep[s]].tobytes())
+                    x.append(np.frombuffer(v, "<f4")[keep[s]].tobytes() if column == "slots" else b"")
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(slots, pa.binary()), pa.array(x, pa.binary())], names=["doc_id", "toxic", "slots", "x"])
+
+        return terms.mapInArrow(of, "doc_id long, toxic int, slots binary, x binary").toArrow().sort_by("doc_id")
+
+    if len(frequent):
+        rows = cut(frequent, "words")
+        telling = np.union1d(telling, paired([np.frombuffer(w.as_buffer(), "<i4") for w in rows.column("slots")], rows.column("toxic").to_numpy(), frequent))
+    rows = cut(telling, "slots")
+    drop(terms)
     machine = Machine()
     machine.fit([(np.frombuffer(s, "<i4").astype(np.int64), np.frombuffer(x, "<f4"), int(y > 0)) for s, x, y in zip(*(rows.column(k).to_pylist() for k in ("slots", "x", "toxic")))])
     return machine
