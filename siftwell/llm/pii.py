@@ -1,19 +1,25 @@
 """Personal data by fixed patterns and by contexts learned from them; DataFrame functions only.
 
 Base spans come from fixed patterns (email, ip, card, phone) whose matches are checked (octets, Luhn digits, number of
-digits) and dropped without a second try if they fail. They seed a bootstrap: the words around a seed are its contexts
-(two words before, two after, one on either side), contexts and the strings that stand in them make a graph, and
-scores go back and forth. A context's score for a kind is the share of its distinct strings that are known for that
-kind; a string's score is one minus the product of (1 - score) over its contexts; strings above `SURE` count as known in
-the next round. At last each such string is a span wherever it stands in one of the contexts that speak for it, if it has the
-kind's rough shape. Strings are grouped before anything is joined, so a context that is everywhere is one counted
-row a string, not a group.
-
-Patterns are written with possessive repeats and begin only where a run begins (or the last match ended); that changes
-no match and keeps very long runs linear and the regex engine's stack flat.
+digits) and dropped without a second try if they fail. They seed a bootstrap. Each seed and each candidate (addresses with
+@, [at], (at) or at ... dot, runs of digits with blanks and signs, other words with a digit; nothing that touches a base
+span) has lexical patterns: the one and two words before it and behind it, the words on either side together, and a label
+that ends with a colon or an equals sign. In patterns words are in lower case, runs of digits are 0, base spans are #,
+and the start or end of a line is a word of its own. Windows of `REACH` characters are cut alike for both.
+
+Patterns and strings make a graph, and scores go back and forth until no string is new: a pattern's score for a kind is
+the share of known strings among the distinct strings in it that have the kind's rough shape (at least `SEEDS` known ones
+and `TRUST`); a string's score is one minus the product of (1 - score) over its patterns; a string that reaches `SURE`
+is known from then on. At last each such string is a span wherever it stands in a trusted pattern of its kind. Strings are
+grouped before anything is joined, so a pattern that is everywhere is one counted row a string, not a group.
+
+Expressions are written with possessive or bounded repeats and begin only where a run begins (or the last match ended);
+that changes no match and keeps very long runs linear and the regex engine's stack flat. Places are running sums by blocks,
+and texts are cut by blocks of characters, so the time stays in proportion to the text with any number of matches.
 
 Defined results: null and empty texts have no spans. Rows that repeat a doc_id are told apart by a hash of their text;
-rows equal in both get equal results. Places are in code points, ends exclusive.
+rows equal in both get equal results. An empty table gives an empty one. Further columns may have any names. Places are in
+code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.plans.staging import stage
+from siftwell.plans.staging import drop, stage
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -32,41 +38,100 @@ PATTERNS = {
 }
 #: Without such a character a text has no match of the kind.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Words with a digit or an at sign, without closing punctuation: what contexts may find.
-CANDIDATE = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S*[A-Za-z0-9]"
+#: Candidates for contexts to find, and what a text with one holds.
+CANDIDATE = (
+    r"(?<![^\s:=(\[\"'<,;|])(?:"
+    r"[^\s@\x00\[(]{1,64}+(?:@| ?[\[(]at[\])] ?)[^\s@\x00]*[A-Za-z0-9]"
+    r"|[A-Za-z0-9._%+-]{1,64}+ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++"
+    r"|[+(]?[0-9][0-9().\-/ ]{4,24}[0-9](?![A-Za-z0-9])"
+    r"|(?=[^\s0-9@\x00]*+[0-9@])[^\s\x00]*[A-Za-z0-9])"
+)
+CANDIDATE_HINT = r"[0-9@]|[\[(]at[\])]| dot "
 #: Rough shapes that a found string must have, by kind.
 SHAPES = {
-    "email": r"^[^\s@]{1,64}(@|[\[(]at[\])])[^\s@]{2,}$",
+    "email": r"^[^\s@]{1,64}(@| ?[\[(]at[\])] ?)[^\s@]{2,}$|^\S+ at \S+( dot \S+)+$",
     "ip": r"^[0-9A-Fa-f]{1,4}([.:]{1,2}[0-9A-Fa-f]{1,4}){3,7}$",
-    "card": r"^[0-9][0-9-]{11,22}$",
-    "phone": r"^[0-9(][0-9().-]{6,18}[0-9]$",
+    "card": r"^[0-9]([ -]?[0-9]){11,18}$",
+    "phone": r"^(?=([^0-9]*[0-9]){7,15}[^0-9]*$)[+(]?[0-9][0-9().\-/ ]{4,24}[0-9]$",
 }
-#: Rounds of scoring, distinct seeds that a context needs, least score of a context and of a string.
-ROUNDS, SEEDS, TRUST, SURE = 2, 3, 0.5, 0.9
+#: Known strings that a pattern needs, least score of a pattern and of a string, characters of context on a side.
+SEEDS, TRUST, SURE, REACH = 3, 0.5, 0.9, 64
+#: Values of a running sum's block, and characters of a text's block.
+RUN, CUT = 128, 512
 SPAN = "array<struct<kind:string,start:int,end:int>>"
-PLACED = "array<struct<start:int,end:int,text:string,left:string,right:string>>"
 
 
-def placed(text: Column, pattern: str) -> Column:
-    """Matches with their places and up to 64 characters of what stands on either side, up to the next match."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+def _let(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, op, zero: Column) -> Column:
+    """op over all values up to each one; arrays of running values grow within blocks only."""
+
+    def within(start: Column, part: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["last"], x).alias("last"), F.concat(acc["out"], F.array(op(acc["last"], x))).alias("out"))
+        return F.aggregate(part, F.struct(start.alias("last"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def of(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda k: F.slice(v, k * RUN + 1, RUN))
+
+        def joined(p: Column) -> Column:
+            ends = within(zero, F.transform(p, lambda part: F.aggregate(part, zero, op)))
+            return F.flatten(F.zip_with(p, F.concat(F.array(zero), F.slice(ends, F.lit(1), F.size(p) - 1)), lambda part, start: within(start, part)))
+
+        return F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(_let(parts, joined))
 
-    def add(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.length(m["gap"])
-        end = start + F.length(m["text"])
-        one = F.struct(start.alias("start"), end.alias("end"), m["text"].alias("text"), F.right(m["gap"], F.lit(64)).alias("left"), F.left(m["after"], F.lit(64)).alias("right"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    return _let(values, of)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACED).alias("out"))
 
-    def zipped(both: Column) -> Column:
+def placed(text: Column, pattern: str) -> Column:
+    """Matches of a pattern: start, end and text of each."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def of(both: Column) -> Column:
         n = F.size(both["found"])
-        rows = F.arrays_zip(both["found"].alias("text"), F.slice(both["gaps"], F.lit(1), n).alias("gap"), F.slice(both["gaps"], F.lit(2), n).alias("after"))
-        return F.aggregate(rows, start, add, lambda acc: acc["out"])
+        steps = F.zip_with(both["found"], F.slice(both["gaps"], F.lit(1), n), lambda m, gap: F.length(m) + F.length(gap))
+        ends = running(steps, lambda a, x: a + x, F.lit(0))
+        return F.zip_with(both["found"], ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text")))
+
+    return _let(F.struct(found.alias("found"), gaps.alias("gaps")), of)
+
+
+def blocks(text: Column) -> Column:
+    """The text in blocks of CUT characters, so that a part of it is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+
+
+def between(cut: Column, start: Column, end: Column) -> Column:
+    """Characters from start to end of a text in blocks; places outside it count as its start and end."""
+    low = F.greatest(start, F.lit(0))
+    first = F.floor(low / CUT).cast("int")
+    block = lambda k: F.coalesce(F.get(cut, k), F.lit(""))
+    # Short parts lie in two blocks at most; long ones are as few as there are blocks.
+    some = F.when(end - low <= CUT, F.concat(block(first), block(first + 1))).otherwise(F.array_join(F.slice(cut, first + 1, F.greatest(F.floor(end / CUT).cast("int") - first + 1, F.lit(0))), ""))
+    return F.when(end > low, F.substring(some, low - first * CUT + 1, end - low)).otherwise("")
 
-    both = F.struct(found.alias("found"), gaps.alias("gaps"))
-    return F.element_at(F.transform(F.array(both), zipped), 1)
+
+def replaced(text: Column, spans: Column, by) -> Column:
+    """The text with each span exchanged for by(span, its characters that no span before it covers)."""
+
+    def of(x: Column) -> Column:
+        order = F.array_sort(F.transform(x["spans"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+        def rebuilt(y: Column) -> Column:
+            covered = running(F.transform(y["order"], lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+
+            def with_covered(z: Column) -> Column:
+                before = F.concat(F.array(F.lit(0)), F.slice(z, F.lit(1), F.size(z) - 1))
+                pieces = F.zip_with(y["order"], before, lambda s, b: F.concat(between(y["cut"], b, s["start"]), by(s, F.greatest(s["end"] - F.greatest(s["start"], b), F.lit(0)))))
+                return F.concat(F.array_join(pieces, ""), between(y["cut"], F.element_at(z, -1), F.length(x["text"])))
+
+            return _let(covered, with_covered)
+
+        return _let(F.struct(order.alias("order"), blocks(x["text"]).alias("cut")), rebuilt)
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(F.struct(text.alias("text"), spans.alias("spans")), of))
 
 
 def _digits(x: Column) -> Column:
@@ -95,69 +160,88 @@ def _valid(kind: str, x: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    """Checked matches of a kind, with their surroundings."""
+    """Checked matches of a kind."""
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
     found = F.filter(placed(text, PATTERNS[kind]), lambda m: _valid(kind, m["text"]))
-    hint = HINTS[kind]
-    return found if hint is None else F.when(F.contains(text, F.lit(hint)), found).otherwise(F.array().cast(PLACED))
+    hint = HINTS[kind] or "[0-9]"
+    return F.when(F.regexp_like(text, F.lit("[" + hint + "]" if len(hint) == 1 else hint)), found).otherwise(none)
 
 
 def _spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _words(m: Column) -> tuple[Column, Column, Column]:
-    """Hashes of the contexts of a placed match; null where a side is missing."""
-    left = F.lower(F.regexp_extract(m["left"], r"(\S*\s*\S+)\s*$", 1))
-    right = F.lower(F.regexp_extract(m["right"], r"^\s*(\S+\s*\S*)", 1))
-    l1, r1 = F.regexp_extract(left, r"(\S+)$", 1), F.regexp_extract(right, r"^(\S+)", 1)
-    return (
-        F.when(left != "", F.xxhash64(F.lit("before"), F.regexp_replace(left, r"\s+", " "))),
-        F.when(right != "", F.xxhash64(F.lit("after"), F.regexp_replace(right, r"\s+", " "))),
-        F.when((l1 != "") & (r1 != ""), F.xxhash64(F.lit("around"), l1, r1)),
-    )
+def _patterns(left: Column, right: Column) -> Column:
+    """Hashes of the lexical patterns around a place."""
+    plain = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"\x00+", "#"), "[0-9]+", "0")
+    before = F.concat(F.lit("^ ^ "), F.regexp_extract(plain(left), r"([^\n]*)$", 1))
+    after = F.concat(F.regexp_extract(plain(right), r"^([^\n]*)", 1), F.lit(" $ $"))
 
+    def words(x: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(x["before"], r"(\S+)\s*$", 1).alias("l1"), F.regexp_extract(x["before"], r"(\S+\s+\S+)\s*$", 1).alias("l2"),
+            F.regexp_extract(x["after"], r"^\s*(\S+)", 1).alias("r1"), F.regexp_extract(x["after"], r"^\s*(\S+\s+\S+)", 1).alias("r2"),
+        )
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, key, the base spans, and `met`: base matches and candidates with their contexts."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "key", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], F.when(F.regexp_like("text", F.lit("[0-9@]")), placed(F.col("text"), CANDIDATE)).otherwise(F.array().cast(PLACED)).alias("words"))
+    def hashes(w: Column) -> Column:
+        one = lambda x: F.regexp_replace(x, r"\s+", " ")
+        label = F.when(F.regexp_like(w["l1"], F.lit("[:=]$")), w["l1"]).otherwise(F.concat(w["l1"], F.lit(" "), w["r1"]))
+        named = (("before", w["l1"]), ("two before", one(w["l2"])), ("behind", w["r1"]), ("two behind", one(w["r2"])), ("around", F.concat(w["l1"], F.lit(" "), w["r1"])), ("label", label))
+        return F.array(*[F.xxhash64(F.lit(name), x) for name, x in named])
 
-    def context(kind: str | None):
-        def of(m: Column) -> Column:
-            before, after, around = _words(m)
-            return F.struct(F.lit(kind).cast("string").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.lower(m["text"]).alias("text"), before.alias("before"), after.alias("after"), around.alias("around"))
+    return _let(_let(F.struct(before.alias("before"), after.alias("after")), words), hashes)
 
-        return of
 
-    spans = F.concat(*[_spans_of(k) for k in KINDS])
-    free = F.filter("words", lambda w: ~F.exists(F.col("base"), lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
-    rows = rows.withColumn("base", spans)
-    return rows.select("doc_id", "key", "base", F.concat(*[F.transform(k, context(k)) for k in KINDS], F.transform(free, context(None))).alias("met"))
+def scan(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, key, the base spans, and `met`: base matches and candidates with their patterns."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "key", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
+    own = lambda k: F.transform(k, lambda m: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")))
+    rows = rows.select("doc_id", "key", "text", F.concat(*[own(k) for k in KINDS]).alias("seeds"))
+    hidden = replaced(F.col("text"), F.col("seeds"), lambda s, n: F.repeat(F.lit("\0"), n))
+    rows = rows.withColumn("hidden", F.when((F.size("seeds") > 0) | F.regexp_like("text", F.lit(CANDIDATE_HINT)), hidden))
+    free = F.transform(placed(F.col("hidden"), CANDIDATE), lambda m: F.struct(F.lit(None).cast("string").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")))
+    items = F.concat("seeds", F.when(F.regexp_like("hidden", F.lit(CANDIDATE_HINT)), free).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,text:string>>")))
+
+    def described(cut: Column) -> Column:
+        def of(m: Column) -> Column:
+            fits = [F.when(m["kind"] == k, F.lit(1 << i)).when(m["kind"].isNull() & F.regexp_like(m["text"], F.lit(SHAPES[k])), F.lit(1 << i)).otherwise(0) for i, k in enumerate(KINDS)]
+            patterns = _patterns(between(cut, m["start"] - REACH, m["start"]), between(cut, m["end"], m["end"] + REACH))
+            return F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.xxhash64(F.lower(m["text"])).alias("string"), sum(fits[1:], fits[0]).alias("fits"), patterns.alias("patterns"))
 
+        return F.filter(F.transform(items, of), lambda m: m["fits"] > 0)
 
-def _spans_of(kind: str) -> Column:
-    return F.transform(kind, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    met = _let(blocks(F.col("hidden")), described)
+    base = F.transform("seeds", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return rows.select("doc_id", "key", base.alias("base"), F.when(F.col("hidden").isNotNull(), met).alias("met"))
 
 
 def found_spans(scanned: DataFrame) -> DataFrame:
     """doc_id, key and the spans that contexts find, for rows that have any."""
-    met = scanned.select("doc_id", "key", F.explode("met").alias("m")).select("doc_id", "key", "m.*")
-    each = met.withColumn("string", F.xxhash64("text")).withColumn("context", F.explode(F.filter(F.array("before", "after", "around"), lambda c: c.isNotNull())))
-    edges = stage(each.groupBy("context", "string").agg(F.max("kind").alias("kind")), "pii-edges")
-    known = edges
-    for k in range(ROUNDS):
-        counts = known.groupBy("context").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == x).alias(x) for x in KINDS])
-        best = F.greatest(*[F.struct(F.col(x).alias("seeds"), F.lit(x).alias("of")) for x in KINDS])
-        trusted = counts.select("context", "n", best.alias("b")).where(F.col("b.seeds") >= SEEDS).select("context", F.col("b.of").alias("of"), (F.col("b.seeds") / (F.col("n") + 0.5)).alias("score")).where(F.col("score") >= TRUST)
-        met_edges = known.where("kind IS NULL").join(trusted, "context")
-        strings = met_edges.groupBy("string", "of").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("score")).where(F.col("score") >= SURE)
-        strings = strings.groupBy("string").agg(F.max(F.struct("score", "of"))["of"].alias("found_kind"))
-        if k < ROUNDS - 1:
-            known = stage(edges.join(strings, "string", "left").select("context", "string", F.coalesce("kind", "found_kind").alias("kind")), "pii-known")
-    trusted, strings = stage(trusted, "pii-contexts"), stage(strings.unionByName(known.where("kind IS NOT NULL").join(edges.where("kind IS NULL"), ["context", "string"], "left_semi").groupBy("string").agg(F.max("kind").alias("found_kind"))).groupBy("string").agg(F.max("found_kind").alias("found_kind")), "pii-strings")
-    shape = F.coalesce(*[F.when(F.col("found_kind") == k, F.regexp_like("text", F.lit(p))) for k, p in SHAPES.items()])
-    sure = each.where("kind IS NULL").join(strings, "string").where(shape).join(trusted.select("context", "of"), "context").where("of = found_kind")
-    return sure.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("found_kind").alias("kind"), "start", "end"))).alias("found"))
+    each = scanned.select("doc_id", "key", F.explode("met").alias("m")).select("doc_id", "key", "m.kind", "m.start", "m.end", "m.string", "m.fits", F.explode("m.patterns").alias("pattern"))
+    edges = stage(each.groupBy("pattern", "string").agg(F.max("kind").alias("seed"), F.max("fits").alias("fits")), "pii-edges")
+    fits = lambda i: F.col("fits").bitwiseAND(F.lit(1 << i)) > 0
+    known, strings, n_known = edges.withColumn("kind", F.col("seed")), None, -1
+    while True:
+        counts = known.groupBy("pattern").agg(*[F.struct(F.count_if(F.col("kind") == k).alias("known"), F.count_if(fits(i)).alias("n")).alias(k) for i, k in enumerate(KINDS)])
+        of = F.explode(F.array(*[F.struct(F.lit(k).alias("of"), F.lit(1 << i).alias("bit"), F.col(k)["known"].alias("known"), (F.col(k)["known"] / (F.col(k)["n"] + 0.5)).alias("score")) for i, k in enumerate(KINDS)]))
+        trusted = stage(counts.select("pattern", of.alias("t")).select("pattern", "t.*").where((F.col("known") >= SEEDS) & (F.col("score") >= TRUST)).drop("known"), "pii-trusted")
+        met = edges.where("seed IS NULL").join(trusted, "pattern").where("fits & bit > 0")
+        scores = met.groupBy("string", "of").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("score")).where(F.col("score") >= SURE)
+        best = scores.groupBy("string").agg(F.max(F.struct("score", "of"))["of"].alias("found"))
+        # What was known stays known, so the rounds end.
+        both = best if strings is None else strings.unionByName(best.join(strings, "string", "left_anti"))
+        before, strings = strings, stage(both, "pii-strings")
+        n_before, n_known = n_known, strings.count()
+        if before is not None:
+            drop(before)
+        if n_known in (0, n_before):
+            break
+        old, known = known, stage(edges.join(strings, "string", "left").select("pattern", "string", "fits", F.coalesce("seed", "found").alias("kind")), "pii-known")
+        drop(old, trusted)
+    drop(edges, known)
+    sure = each.where("kind IS NULL").join(strings, "string").join(trusted.select("pattern", F.col("of").alias("found")), ["pattern", "found"])
+    return sure.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(F.struct(F.col("found").alias("kind"), "start", "end"))).alias("found"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -180,15 +264,10 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span of the text replaced by its kind in square brackets; spans that overlap count as one."""
-    found = spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("pii_id"), F.col("key").alias("pii_key"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("pii_spans")).distinct()
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
-        longer = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(longer)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.aggregate("pii_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["at"] + 1, F.length("text"))))
-    met = docs.join(found, docs.doc_id.eqNullSafe(found.pii_id) & (F.xxhash64(docs.text) == found.pii_key), "left")
-    return met.select(*[F.when(F.col("pii_spans").isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    found = spans(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("id"), "key", "spans").distinct()
+    # The rows of docs stand in a struct, so that their columns may have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    met = rows.join(found, F.col("row.doc_id").eqNullSafe(found.id) & (F.xxhash64("row.text") == found.key), "left")
+    text = replaced(F.col("row.text"), F.col("spans"), lambda s, n: F.when(s["end"] - s["start"] == n, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+    new = F.when(F.col("spans").isNotNull(), text).otherwise(F.col("row.text"))
+    return met.select(*[new.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

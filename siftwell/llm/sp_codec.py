@@ -31,8 +31,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from siftwell.plans.staging import ship_package
 
 BLANK = "▁"
-#: Entries of each of the two generations of a worker's stores; about 30 MB of a store at most.
-STORE = 60_000
+#: Entries of each of the two generations of a worker's stores; about 115 MB of all stores together.
+STORE = 150_000
 _SEGMENT = re.compile(r"[ ]*[^ \n]+|\n|[ ]+")
 
 

@@ -55,13 +55,9 @@ class Encoder:
         self.chars = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
         self.of_id = [np.array([i], self.kind).tobytes() for i in range(self.library.get_vocab_size())]
         self.tokenize = self.library.model.tokenize
-        self.words = Store(self._word, 60_000)
-        self.segments = Store(self._segment, 20_000)
-        self.spaced = Store(lambda word: self._segment(" " + word), 100_000)
-
-    def release(self) -> None:
-        for store in (self.words, self.segments, self.spaced):
-            store.release()
+        self.words = Store(self._word, 300_000)
+        self.segments = Store(self._segment, 50_000)
+        self.spaced = Store(lambda word: self._segment(" " + word), 700_000)
 
     def _word(self, word: str) -> bytes:
         text = word.encode().decode("latin-1").translate(self.chars)
@@ -169,23 +165,20 @@ def write_files(docs: DataFrame, path: str, to: str, end_id: int = 0, length: in
 
         encoder, shard = load(path), TaskContext.get().partitionId()
         uri, end, writer, place = f"{to}/{shard:06d}.arrow", np.array([end_id], encoder.kind).tobytes(), None, 0
-        try:
-            for part in batches:
-                sizes, places = [], []
-                for t in part.column(1):
-                    writer = writer or Writer(uri, encoder.kind, length, batch)
-                    ids = encoder(t.as_py() or "") + end
-                    writer.add(ids)
-                    k = len(ids) // encoder.kind.itemsize
-                    sizes.append(k)
-                    places.append(place)
-                    place += k
-                rows = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * rows, pa.int32()), pa.array([uri] * rows), part.column(0), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], names=["shard", "file", "doc_id", "place", "n_tokens"])
-            if writer:
-                writer.close()
-        finally:
-            encoder.release()
+        for part in batches:
+            sizes, places = [], []
+            for t in part.column(1):
+                writer = writer or Writer(uri, encoder.kind, length, batch)
+                ids = encoder(t.as_py() or "") + end
+                writer.add(ids)
+                k = len(ids) // encoder.kind.itemsize
+                sizes.append(k)
+                places.append(place)
+                place += k
+            rows = part.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * rows, pa.int32()), pa.array([uri] * rows), part.column(0), pa.array(places, pa.int64()), pa.array(sizes, pa.int64())], names=["shard", "file", "doc_id", "place", "n_tokens"])
+        if writer:
+            writer.close()
 
     return stage(dealt.mapInArrow(run, "shard int, file string, doc_id long, place long, n_tokens long"), "token-index")
 

@@ -258,6 +258,37 @@ def test_toxicity(spark, empty):
     assert toxicity.predictions(empty, marks).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["either but not both", "both"])
+def test_toxicity_of_pairs(spark, kind):
+    """Two words of which neither says anything alone, or only both together do."""
+    rng = random.Random(5)
+    vocabulary = [words(rng, 1) + rng.choice("xyzq") for _ in range(400)]
+    rows, labels = [], []
+    for k in range(1500):
+        w = [rng.choice(vocabulary) for _ in range(30)]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        if a:
+            w[3] = "insultword"
+        if b:
+            w[9] = "grouppeople"
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(a != b if kind != "both" else a and b)))
+    got = {r.doc_id: r for r in toxicity.predictions(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    right = np.mean([got[k].predicted == y for k, y in labels if got[k].held_out])
+    alone = max(np.mean([(word in t) == bool(y) for (k, t), (_, y) in zip(rows, labels) if got[k].held_out]) for word in ("insultword", "grouppeople"))
+    assert right > 0.95 > alone + 0.1
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(None, "vile text"), (1, "vile text"), (1, "vile text"), (2, "long vile " * 100_000), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("kept")).withColumn("toxic", F.lit(1))
+    marks = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.predictions(df, marks).collect()
+    assert len(got) == 5 and [r.held_out for r in got if r.doc_id is None] == [False] and all(0 <= r.score <= 1 for r in got)
+    machine = toxicity.train(df, marks.limit(0))
+    assert {r.toxicity for r in toxicity.score(df, machine).collect()} == {0.5} and toxicity.score(df, machine).columns == [*df.columns, "toxicity"]
+
+
 def brute_pii(text):
     def luhn(s):
         d = [int(c) for c in s if c.isdigit()][::-1]
@@ -303,6 +334,43 @@ def test_pii_contexts_find_more(spark):
     assert masked[100].text.startswith("so please write to [EMAIL] before friday") and "[EMAIL]" in masked[0].text and masked[101].text == rows[-1][1]
 
 
+def test_pii_contexts_find_spellings_with_blanks(spark):
+    """Several kinds, contexts of one word or a label, no digit in an address, numbers in groups, beside other numbers."""
+    rng = random.Random(16)
+    rows = [(k, f"{words(rng, 4)}\nContact: ann.{k}@mail{k}.example.com today {words(rng, 2)}") for k in range(40)]
+    rows += [(100 + k, f"{words(rng, 6)} ring us on +49 (0{k}0) 555-27{k:02d} or wait {k} days") for k in range(40)]
+    rows += [
+        (200, "so it says\nContact: john.smith[at]mail.example today again"), (201, "and here\nContact: mary (at) mail.example today again"), (202, "Contact: joe at mail dot example today"),
+        (203, "please ring us on (017) 555-7713 or wait 3 days"), (204, "please ring us on 0171 234 5678 or wait 77 days"), (205, "in 2019 we sold 0171 234 5678 pieces and john.smith[at]mail.example wrote"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pii_spans", F.lit(1)).withColumn("key", F.lit("x"))
+    got = {r.doc_id: r.spans for r in pii.digests(df).collect()}
+    text = dict(rows)
+    found = {k: [(kind, text[k][int(a) : int(z)]) for kind, a, z in (s.split(":") for s in got[k].split(",") if s)] for k in got}
+    assert found[200] == [("email", "john.smith[at]mail.example")] and found[201] == [("email", "mary (at) mail.example")] and found[202] == [("email", "joe at mail dot example")]
+    assert found[203] == [("phone", "(017) 555-7713")] and found[204] == [("phone", "0171 234 5678")] and found[205] == []
+    assert all(len(found[k]) == 1 for k in range(40)) and all(len(found[100 + k]) == 1 for k in range(40))
+    masked = by_id(pii.redacted(df))
+    assert masked[204].text == "please ring us on [PHONE] or wait 77 days" and masked[205].text == text[205] and masked[0].pii_spans == 1 and masked[0].key == "x"
+    assert masked[0].text == re.sub(r"ann\S+", "[EMAIL]", text[0])
+
+
+def test_pii_in_long_texts(spark):
+    """A text of a megabyte with tens of thousands of matches; masked text against a plain definition."""
+    import time
+
+    long = {1: "mail a@b.c " * 40_000, 2: "1 22 333 " * 60_000, 3: "x +1 (068) 555-2748 1.2.3.4 é " * 20_000, 4: "0" * 1_000_000, 5: "no such thing " * 50_000}
+    df = spark.createDataFrame(list(long.items()), "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = by_id(pii.digests(df))
+    long[4] = ""  # a card of a million digits is none, and the plain expressions would take hours
+    for k, t in long.items():
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{x}:{a}:{z}" for x, a, z in brute_pii(t)).encode()).hexdigest()
+    masked = by_id(pii.redacted(df.where("doc_id in (1, 3)")))
+    assert masked[1].text == "mail [EMAIL] " * 40_000 and masked[3].text == "x [PHONE] é " * 20_000
+    assert time.time() - began < 180
+
+
 def plain_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s))
     weight = {s: i % 3 + 1 for i, s in enumerate(order)}
@@ -338,6 +406,30 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix(docs).count() == docs.count()
 
 
+def test_mixing_includes_by_size(spark):
+    """Over sources with the same sizes the shares in which documents are taken once more are those that were planned."""
+    sizes = [5, 5, 7, 10, 10, 14, 20, 28, 40, 40, 56, 80, 160, 320] * 4
+    rows = [(f"{s:03d}", s * 1000 + k, n) for s in range(150) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, n int").select("doc_id", "source", F.repeat(F.lit("w "), F.col("n")).alias("text"))
+    got = mixing.mix(df).toPandas()
+    got["weight"] = got.source.astype(int) % 3
+    got["more"] = got.taken // got["size"] - (got.target / got.source_size).astype(int)
+    shares = got.groupby(["weight", "size"]).agg(n=("more", "size"), share=("more", "mean"), planned=("inclusion", "mean")).reset_index()
+    open_ = shares[(shares.planned > 0) & (shares.planned < 1)]
+    assert len(open_) > 15 and (abs(open_.share - open_.planned) < 4 * (open_.planned * (1 - open_.planned) / open_.n) ** 0.5 + 0.02).all()
+    low, high = open_[open_.weight == 0].sort_values("size").planned.iloc[[0, -1]]
+    assert low > high
+    counts = got.groupby(["weight", "source"]).more.sum().reset_index().groupby("weight").more.nunique()
+    assert (counts == 1).all()  # the number is fixed before anything is drawn
+
+
+def test_mixing_of_clashing_columns_and_repeated_rows(spark):
+    rows = [(k % 40, "word " * (1 + k % 7), "a" if k % 3 else None, k % 2) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_times int").withColumn("row", F.lit(1)).withColumn("times", F.lit(2)).withColumn("taken", F.lit(0))
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and out.count() == sum(r.taken // r["size"] for r in mixing.mix(df).collect())
+
+
 def test_fingerprints(docs, texts, empty):
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: r.doc_id)
     got = by_id(fingerprints.fingerprints(docs))
