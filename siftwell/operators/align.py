@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,8 +12,9 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.similarity import indel_ratio, ratio_bound
 from siftwell.functions.text import normal_name
+from siftwell.plans.staging import ship_package
 
-THRESHOLD, CONFLICT = 0.7, 0.9
+THRESHOLD, CONFLICT, WILDCARD = 0.7, 0.9, 0.3
 
 
 def key_part(value: Column, port: bool = False) -> Column:
@@ -34,18 +37,33 @@ def compatible(a: Column, b: Column) -> Column:
     return F.forall(F.zip_with(a, b, lambda x, y: (x == "*") | (y == "*") | (x == y)), lambda ok: ok)
 
 
-def pair_similarity(ext: DataFrame, base: DataFrame, run: str = "run_id") -> DataFrame:
-    """Pairs of a run that can reach the threshold, with their similarity.
+def key_score(name: Column, parts: Column, other: Column) -> Column:
+    """Mean over the name and the parts of two compatible keys: 1 for what is known on both sides, 0.3 for wildcards."""
+    each = F.zip_with(parts, other, lambda x, y: F.when((x == "*") | (y == "*"), WILDCARD).when(x == y, 1.0).otherwise(0.0))
+    return F.aggregate(each, F.when(name == "*", WILDCARD).otherwise(1.0), lambda s, x: s + x) / (F.size(parts) + 1)
+
+
+def same_name_similarity(name: Column, parts: Column, other: Column) -> Column:
+    """Of two records with one name. Names that aren't empty are alike by 1, empty ones by 0: unnamed records count by
+    their keys alone."""
+    alike = F.when(name == "", 0.0).otherwise(1.0)
+    return F.when(compatible(parts, other), F.greatest(key_score(name, parts, other), alike)).otherwise(CONFLICT * alike)
+
+
+def pair_similarity(ext: DataFrame, base: DataFrame, run: str = "run_id", least: float = THRESHOLD) -> DataFrame:
+    """Pairs of a run that can reach `least`, with their similarity.
 
-    ext and base: run_id, idx, norm_name, parts. Equal names: 1 if the parts agree (* agrees with all), else 0.9. Other names:
-    0.9 times their ratio, so pairs whose lengths alone keep them below the threshold never meet the ratio. Pairs arise
-    within a run only; equal names meet by an equi-join.
+    ext and base: run_id, idx, norm_name, parts. Equal names: the larger of the keys' score and the names' likeness if the
+    parts agree (* agrees with all), else 0.9 times the latter. Other names: 0.9 times their ratio, so pairs whose lengths
+    alone keep them below never meet the ratio. Pairs arise within a run only; equal names meet by an equi-join.
     """
+    ship_package(ext.sparkSession)
     e = ext.select(F.col(run), F.col("idx").alias("ext_idx"), F.col("norm_name").alias("ext_name"), F.col("parts").alias("ext_parts"))
     b = base.select(F.col(run), F.col("idx").alias("base_idx"), F.col("norm_name").alias("base_name"), F.col("parts").alias("base_parts"))
-    same = e.join(b.withColumn("ext_name", F.col("base_name")), [run, "ext_name"]).withColumn("similarity", F.when(compatible(F.col("ext_parts"), F.col("base_parts")), 1.0).otherwise(CONFLICT))
-    other = e.join(b, run).where((F.col("ext_name") != F.col("base_name")) & (CONFLICT * ratio_bound(F.col("ext_name"), F.col("base_name")) >= THRESHOLD))
-    other = other.withColumn("similarity", CONFLICT * indel_ratio("ext_name", "base_name"))
+    same = e.join(b.withColumn("ext_name", F.col("base_name")), [run, "ext_name"]).withColumn("similarity", same_name_similarity(F.col("ext_name"), F.col("ext_parts"), F.col("base_parts")))
+    some = F.when((F.col("ext_name") == "") | (F.col("base_name") == ""), F.lit(0.0)).otherwise(CONFLICT * ratio_bound(F.col("ext_name"), F.col("base_name")))
+    other = e.join(b, run).where((F.col("ext_name") != F.col("base_name")) & (some >= least))
+    other = other.withColumn("similarity", F.when((F.col("ext_name") == "") | (F.col("base_name") == ""), 0.0).otherwise(CONFLICT * indel_ratio("ext_name", "base_name")))
     cols = [run, "ext_idx", "base_idx", "similarity"]
     return same.select(*cols).unionByName(other.select(*cols))
 
@@ -101,33 +119,69 @@ def common_lengths(names: list[str], others: list[str]) -> np.ndarray:
     return np.array([known[x] for x in names])
 
 
+def similarities(names: list[str], parts: list, others: list[str], other_parts: list) -> np.ndarray:
+    """The whole matrix of a run, as pair_similarity() has its cells."""
+    sizes = np.array([len(x) for x in names])[:, None] + np.array([len(x) for x in others])[None, :]
+    matrix = CONFLICT * (2.0 * common_lengths(names, others) / np.maximum(sizes, 1))
+    places: dict[str, list[int]] = {}
+    for j, name in enumerate(others):
+        places.setdefault(name, []).append(j)
+    for i, name in enumerate(names):
+        for j in places.get(name, ()):
+            alike, both = 1.0 if name else 0.0, list(zip(parts[i], other_parts[j]))
+            if all(x == "*" or y == "*" or x == y for x, y in both):
+                known = sum(WILDCARD if "*" in p else 1.0 for p in both) + (WILDCARD if name == "*" else 1.0)
+                matrix[i, j] = max(known / (len(both) + 1), alike)
+            else:
+                matrix[i, j] = CONFLICT * alike
+    return matrix
+
+
 def assign(ext: DataFrame, base: DataFrame, run: str = "run_id", threshold: float = THRESHOLD) -> DataFrame:
     """run, ext_idx, base_idx, similarity: the best assignment of each run's whole matrix, cut at the threshold afterwards.
 
-    A run holds the findings of one report (hundreds), so a run is a group; runs are spread over the cluster.
+    A run holds the findings of one report (hundreds), so a run is worked on as a whole; runs are spread over the cluster,
+    and a task passes through its runs one after the other, holding one run and one batch of rows.
     """
-    cols = [run, "idx", "norm_name", "parts"]
+    ship_package(ext.sparkSession)
+    side = lambda df, k: df.select(F.col(run).alias("run"), F.lit(k).alias("side"), F.col("idx").alias("idx"), F.col("norm_name").alias("norm_name"), F.col("parts").alias("parts"))
+    rows = side(ext, 0).unionByName(side(base, 1)).where("run IS NOT NULL").repartition("run").sortWithinPartitions("run", "side", "idx")
 
-    def solve(e: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({run: [], "ext_idx": [], "base_idx": [], "similarity": []}).astype({"ext_idx": "int64", "base_idx": "int64", "similarity": "float64"})
+    def solve(e: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
         if not len(e) or not len(b):
-            return none
-        e, b = e.sort_values("idx").reset_index(drop=True), b.sort_values("idx").reset_index(drop=True)
-
-        # Equal names have a ratio of 1, so they differ from others only where the parts agree.
-        sizes = np.array([len(x) for x in e.norm_name])[:, None] + np.array([len(x) for x in b.norm_name])[None, :]
-        matrix = CONFLICT * (2.0 * common_lengths(list(e.norm_name), list(b.norm_name)) / np.maximum(sizes, 1))
-        places = b.groupby("norm_name").indices
-        for i, name in enumerate(e.norm_name):
-            for j in places.get(name, ()):
-                matrix[i, j] = 1.0 if all(x == "*" or y == "*" or x == y for x, y in zip(e.parts[i], b.parts[j])) else CONFLICT
+            return []
+        matrix = similarities(list(e.norm_name), list(e.parts), list(b.norm_name), list(b.parts))
         pairs = best_assignment(-matrix) if len(e) <= len(b) else [(i, j) for j, i in best_assignment(-matrix.T)]
-        rows = [(e[run][0], int(e.idx[i]), int(b.idx[j]), float(matrix[i, j])) for i, j in pairs if matrix[i, j] >= threshold]
-        return pd.DataFrame(rows, columns=[run, "ext_idx", "base_idx", "similarity"]) if rows else none
+        return [(e.run.iloc[0], int(e.idx.iloc[i]), int(b.idx.iloc[j]), float(matrix[i, j])) for i, j in pairs if matrix[i, j] >= threshold]
+
+    def solved(held: pd.DataFrame) -> pd.DataFrame:
+        side, starts = held.side.to_numpy(), np.flatnonzero(np.concatenate([[True], held.run.to_numpy()[1:] != held.run.to_numpy()[:-1]]))
+        out = []
+        for low, high in zip(starts, [*starts[1:], len(held)]):
+            middle = low + int((side[low:high] == 0).sum())
+            out += solve(held.iloc[low:middle], held.iloc[middle:high])
+        found = pd.DataFrame(out, columns=[run, "ext_idx", "base_idx", "similarity"])
+        return found.astype({"ext_idx": "int64", "base_idx": "int64", "similarity": "float64"})
+
+    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of the run that may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = batch.run.to_numpy()
+            last = int(np.searchsorted(-(ids[::-1] == ids[-1]).astype(int), 0))  # rows of the last run of the batch
+            if last == len(batch) and (not held or held[-1].run.iloc[-1] == ids[-1]):
+                held.append(batch)
+                continue
+            whole = pd.concat([*held, batch.iloc[: len(batch) - last]], ignore_index=True)
+            held = [batch.iloc[len(batch) - last :]]
+            if len(whole):
+                yield solved(whole)
+        if held:
+            yield solved(pd.concat(held, ignore_index=True))
 
     kind = dict(ext.dtypes)[run]
-    side = lambda df: df.select(*[F.col(c).alias(c) for c in cols]).toDF(*cols)  # noqa: E731  columns of its own, if both sides come from one table
-    return side(ext).groupBy(run).cogroup(side(base).groupBy(run)).applyInPandas(solve, f"{run} {kind}, ext_idx long, base_idx long, similarity double")
+    return rows.mapInPandas(passed, f"{run} {kind}, ext_idx long, base_idx long, similarity double")
 
 
 def unmatched(ext: DataFrame, base: DataFrame, pairs: DataFrame, run: str = "run_id") -> tuple[DataFrame, DataFrame]:
@@ -138,9 +192,18 @@ def unmatched(ext: DataFrame, base: DataFrame, pairs: DataFrame, run: str = "run
     )
 
 
+def mapping(ext: DataFrame, base: DataFrame, pairs: DataFrame, run: str = "run_id") -> DataFrame:
+    """A row for each extracted record: its name, the truth that it was matched with, their similarity, MATCHED or UNMATCHED."""
+    rows = ext.select(run, F.col("idx").alias("ext_idx"), F.col("norm_name").alias("ext_name")).join(pairs, [run, "ext_idx"], "left")
+    rows = rows.join(base.select(run, F.col("idx").alias("base_idx"), F.col("norm_name").alias("base_name")), [run, "base_idx"], "left")
+    status = F.when(F.col("base_idx").isNull(), "UNMATCHED").otherwise("MATCHED")
+    return rows.select(run, "ext_idx", "ext_name", "base_idx", "base_name", F.round(F.coalesce("similarity", F.lit(0.0)), 4).alias("similarity"), status.alias("status"))
+
+
 def false_positive_kinds(false: DataFrame, ext: DataFrame, base: DataFrame, pairs: DataFrame, run: str = "run_id") -> DataFrame:
-    """duplicate where a matched record has the same key, else invention; with the nearest truth, the last one if equal."""
+    """duplicate where a matched record has the same key, else invention; with the nearest truth, the last one if equal,
+    however far it is. Only the records without truth meet a run's truth here."""
     matched = ext.join(pairs.select(run, F.col("ext_idx").alias("idx")), [run, "idx"], "left_semi").select(run, "norm_name", "parts").distinct().withColumn("twin", F.lit(True))
     kinds = false.join(matched, [run, "norm_name", "parts"], "left").withColumn("kind", F.when(F.col("twin"), "duplicate").otherwise("invention"))
-    near = pair_similarity(false, base, run).withColumn("turn", F.row_number().over(W.partitionBy(run, "ext_idx").orderBy(F.desc("similarity"), F.desc("base_idx")))).where("turn = 1")
+    near = pair_similarity(false, base, run, least=0.0).withColumn("turn", F.row_number().over(W.partitionBy(run, "ext_idx").orderBy(F.desc("similarity"), F.desc("base_idx")))).where("turn = 1")
     return kinds.join(near.select(run, F.col("ext_idx").alias("idx"), F.col("base_idx").alias("nearest"), F.col("similarity").alias("nearest_similarity")), [run, "idx"], "left").drop("twin")

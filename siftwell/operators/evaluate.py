@@ -2,9 +2,123 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, NumericType, StructType
+
+from siftwell.functions import scoring
+from siftwell.operators import align, schema
+from siftwell.plans.staging import ship_package, stage
+
+#: Fields whose type doesn't tell how they are compared.
+BY_NAME = {"references": "set_f1_ids"}
+
+
+@dataclass(frozen=True)
+class FieldPlan:
+    """How a field is scored: text (by all chosen text scorers), structural, or one scorer's name."""
+
+    name: str
+    metric: str
+    type: DataType
+
+
+def inferred(kind: DataType, metadata: Mapping) -> str:
+    """Fixed lists, numbers, truth values and mixed fields exactly; structs, maps and lists of structs by their parts."""
+    if metadata.get("one_of") or metadata.get("mixed") or isinstance(kind, NumericType | BooleanType):
+        return "exact"
+    if isinstance(kind, StructType | MapType) or isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
+        return "structural"
+    return "text"
+
+
+def field_plans(kind: StructType, overrides: Mapping[str, str] | None = None) -> list[FieldPlan]:
+    """Plans of the fields that an extractor produces: overrides before names before types; skip leaves a field out."""
+    overrides = dict(overrides or {})
+    valid = {*scoring.SCORERS, "skip"} - {"structural"}
+    if unknown := sorted(set(overrides.values()) - valid):
+        raise ValueError(f"unknown scorers {unknown}; there are {', '.join(sorted(valid))}")
+    plans = [FieldPlan(f.name, overrides.get(f.name) or BY_NAME.get(f.name) or inferred(f.dataType, f.metadata), f.dataType) for f in schema.produced(kind)]
+    return [p for p in plans if p.metric != "skip"]
+
+
+def score_pairs(pairs: DataFrame, ext: DataFrame, base: DataFrame, plans: list[FieldPlan], scorers: list[scoring.Scorer], run: str = "run_id") -> DataFrame:
+    """run, ext_idx, base_idx, field, metric, score, vacuous, filled_base, filled_ext: a row for each pair, field and scorer.
+
+    Fields that a side lacks are empty there. A set scorer is always accompanied by the other one.
+    """
+
+    ship_package(pairs.sparkSession)
+
+    def side(rows: DataFrame, idx: str, name: str) -> DataFrame:
+        cells = [(c.cast(p.type) if (c := scoring.field_of(rows, p.name)) is not None else F.lit(None).cast(p.type)).alias(p.name) for p in plans]
+        return rows.select(F.col(run), F.col("idx").alias(idx), F.struct(*cells).alias(name))
+
+    met = pairs.select(run, "ext_idx", "base_idx").join(side(ext, "ext_idx", "e"), [run, "ext_idx"]).join(side(base, "base_idx", "b"), [run, "base_idx"])
+    rows = []
+    for p in plans:
+        sets = ["set_f1", "set_f1_ids"]
+        names = [s.name for s in scorers] if p.metric == "text" else sets if p.metric in sets else [p.metric]
+        e, b = F.col("e")[p.name], F.col("b")[p.name]
+        filled = lambda c, p=p: scoring.render_text(c, p.type) != ""
+        for n in names:
+            score, vacuous = scoring.present(scoring.SCORERS[n].score(e, b, p.type), e, b, p.type)
+            rows.append(F.struct(F.lit(p.name).alias("field"), F.lit(n).alias("metric"), score.alias("score"), vacuous.alias("vacuous"), filled(b).alias("filled_base"), filled(e).alias("filled_ext")))
+    return met.select(run, "ext_idx", "base_idx", F.explode(F.array(*rows)).alias("r")).select(run, "ext_idx", "base_idx", "r.*")
+
+
+def unevaluated(base: DataFrame, kind: StructType, keys: tuple[str, ...] = ("run_id", "idx")) -> list[str]:
+    """Columns of the truth that the record type doesn't have, in any case."""
+    known = {f.name.lower() for f in kind.fields} | {"name", *keys}
+    return sorted(c for c in base.columns if c.lower() not in known)
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """pairs: the assignment; scores: long; fields: their summary; coverage: a row a run; mapping: a row a record."""
+
+    pairs: DataFrame
+    scores: DataFrame
+    fields: DataFrame
+    coverage: DataFrame
+    mapping: DataFrame
+    unevaluated: list[str]
+
+
+def evaluate_run(ext: DataFrame | None, base: DataFrame | None, kind: StructType, key_parts: tuple[str, ...] = (), metrics: str | None = "all", threshold: float = align.THRESHOLD, overrides: Mapping[str, str] | None = None, run: str = "run_id") -> Evaluation:
+    """Extracted records against the truth: aligned, scored field by field, summed up. Both have run, idx and their fields."""
+    if base is None:
+        raise ValueError("there is no truth to evaluate against; name one")
+    if ext is None or not ext.limit(1).count():
+        raise ValueError("there are no extracted records")
+    name = lambda rows: c if (c := scoring.field_of(rows, "name")) is not None else F.lit(None).cast("string")
+    sides = [align.keyed(rows.withColumn("__name", name(rows)), key_parts, "__name").drop("__name") for rows in (ext, base)]
+    pairs = stage(align.assign(*sides, run, threshold), "evaluate-pairs")
+    scores = stage(score_pairs(pairs, ext, base, field_plans(kind, overrides), scoring.chosen(metrics), run), "evaluate-scores")
+    return Evaluation(pairs, scores, field_summary(scores), covered(*sides, pairs, run), align.mapping(*sides, pairs, run), unevaluated(base, kind, (run, "idx")))
+
+
+def covered(ext: DataFrame, base: DataFrame, pairs: DataFrame, run: str = "run_id") -> DataFrame:
+    """coverage() with the names that one side lacks, in order, and how many false positives are duplicates or inventions."""
+    false, absent = align.unmatched(ext, base, pairs, run)
+    names = lambda rows, c: rows.groupBy(run).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "norm_name"))), lambda x: x["norm_name"]).alias(c))  # noqa: E731  of one report
+    matched = ext.join(pairs.select(run, F.col("ext_idx").alias("idx")), [run, "idx"], "left_semi").select(run, "norm_name", "parts").distinct().withColumn("twin", F.lit(True))
+    kinds = false.join(matched, [run, "norm_name", "parts"], "left").groupBy(run).agg(F.count_if("twin").alias("duplicates"), F.count_if(F.col("twin").isNull()).alias("inventions"))
+    out = coverage(pairs, ext, base, run).join(names(absent, "false_negatives"), run, "left").join(names(false, "false_positives"), run, "left").join(kinds, run, "left")
+    none = F.array().cast("array<string>")
+    return out.select(run, "matched", "extracted", "baseline", F.round("recall", 4).alias("recall"), F.round("precision", 4).alias("precision"), F.coalesce("false_negatives", none).alias("false_negatives"), F.coalesce("false_positives", none).alias("false_positives"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("duplicates", "inventions")])
+
+
+#: Columns of a summary by metric: these first, others by name.
+METRIC_ORDER = ("exact", "set_f1", "set_f1_ids", "structural")
+
+
+def metric_order(metrics: list[str]) -> list[str]:
+    return [m for m in METRIC_ORDER if m in metrics] + sorted(set(metrics) - set(METRIC_ORDER))
 
 
 def field_summary(scores: DataFrame, keys: tuple[str, ...] = ("field", "metric")) -> DataFrame:

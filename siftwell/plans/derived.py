@@ -79,8 +79,30 @@ SELECT l_orderkey AS run_id, l_linenumber * 100000 + l_partkey AS pair,
 FROM lineitem
 """
 
-VIEWS = {"findings": FINDINGS, "kev": KEV, "epss": EPSS, "report_lines": REPORT_LINES, "runs": RUNS, "pairs": PAIRS}
-TABLES = {"findings": ("lineitem", "part"), "kev": ("part",), "epss": ("part",), "report_lines": ("lineitem", "part"), "runs": ("orders",), "pairs": ("lineitem",)}
+#: Extracted and true records of a run, side by side: names with odd blanks and case, without a name, only on one side;
+#: ports missing, with a fraction, in conflict; labels and lists that differ in form or content.
+RECORDS = """
+SELECT l_orderkey AS run_id, k AS idx, k % 7 <> 0 AS in_ext, k % 7 <> 5 AS in_base,
+       CASE WHEN k % 7 = 5 THEN concat('zz zz zz zz 55 ', CAST(l_partkey AS VARCHAR(9))) WHEN k = 6 THEN ''
+            ELSE concat(p_name, ' no. ', CAST(k AS VARCHAR(9))) END AS base_name,
+       CASE WHEN k % 7 = 5 THEN concat('zz zz zz zz 55 ', CAST(l_partkey AS VARCHAR(9))) WHEN k = 6 THEN CASE WHEN l_suppkey % 2 = 0 THEN NULL ELSE '  ' END
+            WHEN l_suppkey % 3 = 0 THEN upper(concat('  ', p_name, '   no. ', CAST(k AS VARCHAR(9)), ' ')) ELSE concat(p_name, ' no. ', CAST(k AS VARCHAR(9))) END AS ext_name,
+       CASE WHEN k % 4 = 0 THEN NULL ELSE CAST(l_partkey % 9000 + 1 AS VARCHAR(9)) END AS base_port,
+       CASE WHEN l_suppkey % 7 = 0 THEN '9500' WHEN l_suppkey % 7 = 1 THEN NULL WHEN l_suppkey % 7 = 2 THEN concat(CAST(l_partkey % 9000 + 1 AS VARCHAR(9)), '.0')
+            WHEN l_suppkey % 7 = 3 THEN ' NaN ' ELSE CAST(l_partkey % 9000 + 1 AS VARCHAR(9)) END AS ext_port,
+       CASE WHEN l_partkey % 2 = 0 THEN 'tcp' ELSE 'udp' END AS protocol,
+       CASE WHEN l_returnflag = 'A' THEN 'HIGH' WHEN l_returnflag = 'R' THEN 'MEDIUM' ELSE 'LOW' END AS base_severity,
+       CASE WHEN l_suppkey % 10 = 0 THEN 'LOW' WHEN l_returnflag = 'A' THEN 'high' WHEN l_returnflag = 'R' THEN 'MEDIUM' ELSE 'LOW' END AS ext_severity,
+       p_name AS base_line, p_type AS base_more, CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE concat('was seen: ', p_name, ' ', p_name) END AS ext_line,
+       concat('CVE-2020-', CAST(1000 + l_partkey AS VARCHAR(9))) AS base_reference,
+       CASE WHEN l_suppkey % 3 = 0 THEN concat('CVE-2020-', CAST(1000 + l_partkey AS VARCHAR(9))) WHEN l_suppkey % 3 = 1 THEN concat('CVE: cve-2020-', CAST(1000 + l_partkey AS VARCHAR(9))) ELSE ' ' END AS ext_reference,
+       CAST(l_partkey AS BIGINT) AS base_plugin, CASE WHEN l_suppkey % 2 = 0 THEN CAST(l_partkey AS BIGINT) END AS ext_plugin,
+       concat(p_type, ' x') AS ext_family
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_shipdate) AS BIGINT) AS k FROM lineitem JOIN part ON l_partkey = p_partkey) lines
+"""
+
+VIEWS = {"records": RECORDS, "findings": FINDINGS, "kev": KEV, "epss": EPSS, "report_lines": REPORT_LINES, "runs": RUNS, "pairs": PAIRS}
+TABLES = {"records": ("lineitem", "part"), "findings": ("lineitem", "part"), "kev": ("part",), "epss": ("part",), "report_lines": ("lineitem", "part"), "runs": ("orders",), "pairs": ("lineitem",)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.functions import similarity, text
-from siftwell.operators import align, baselines, consolidate, evaluate, exports, pack, prioritize, reconcile, segment
+from siftwell.functions import scoring, similarity, text
+from siftwell.operators import align, baselines, consolidate, evaluate, exports, pack, prioritize, reconcile, schema, segment
 from siftwell.plans.derived import view, with_views
 from siftwell.plans.staging import table
 
@@ -62,10 +62,10 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "document_slugs",
-    """SELECT doc_id, substring(regexp_replace(regexp_replace(left(text, 200), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug, CAST(floor(length(text) / 3.5) AS INT) AS tokens, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INT) AS words FROM documents""",
+    """SELECT doc_id, substring(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug, CAST(floor(length(text) / 3.5) AS INT) AS tokens, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INT) AS words FROM documents""",
 )
 def document_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.left("text", F.lit(200))).alias("slug"), text.n_tokens(F.col("text")).alias("tokens"), F.size(text.tokens(F.col("text"))).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.col("text")).alias("slug"), text.n_tokens(F.col("text")).alias("tokens"), F.size(text.tokens(F.col("text"))).alias("words"))
 
 
 _BLOCKS = """kept AS (SELECT report_id, pos, line, trim(line) AS bare, row_number() OVER (PARTITION BY report_id ORDER BY pos) AS n FROM report_lines WHERE NOT regexp_full_match(trim(line), '(?i)([0-9]+\\s+)?Results\\s+per\\s+Host(\\s+[0-9]+)?')),
@@ -194,7 +194,95 @@ def align_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.assign(e, b)
 
 
-_WORDS = """a AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 400)), '[a-z0-9]+')) AS w FROM documents), b AS (SELECT doc_id - 1 AS doc_id, unnest(regexp_extract_all(lower(left(text, 400)), '[a-z0-9]+')) AS w FROM documents)"""
+#: SQL of keys, of the assignment and of its scores over the view of records.
+_PART = "CASE WHEN {c} IS NULL OR lower(trim({c})) IN ('', 'nan', 'none') THEN '*' ELSE regexp_replace(trim({c}), '[.]0+$', '') END"
+_KEYED = f""", keyed AS (SELECT *, lower(trim(regexp_replace(coalesce(ext_name, ''), '[ ]+', ' ', 'g'))) AS en, lower(base_name) AS bn, {_PART.format(c="ext_port")} AS ep, {_PART.format(c="base_port")} AS bp FROM records),
+    alike AS (SELECT *, CASE WHEN ep = '*' OR bp = '*' OR ep = bp THEN greatest((1.0 + CASE WHEN ep = '*' OR bp = '*' THEN 0.3 ELSE 1.0 END + 1.0) / 3, CASE WHEN en = '' THEN 0.0 ELSE 1.0 END) ELSE CASE WHEN en = '' THEN 0.0 ELSE 0.9 END END AS similarity FROM keyed),
+    matched AS (SELECT * FROM alike WHERE in_ext AND in_base AND similarity >= 0.7)"""
+_TOKENS = "regexp_extract_all(lower({t}), '[a-z0-9]+')"
+
+
+def _token_f1_sql(a: str, b: str) -> str:
+    """F1 of the multisets of tokens of two SQL texts, presence first."""
+    x, y = _TOKENS.format(t=a), _TOKENS.format(t=b)
+    common = f"list_sum(list_transform(list_distinct({x}), lambda w: least(len(list_filter({x}, lambda v: v = w)), len(list_filter({y}, lambda v: v = w)))))"
+    return f"CASE WHEN trim({a}) = '' AND trim({b}) = '' THEN 1.0 WHEN trim({a}) = '' OR trim({b}) = '' THEN 0.0 ELSE 2.0 * coalesce({common}, 0) / (len({x}) + len({y})) END"
+
+
+_ROW = "SELECT run_id, idx AS ext_idx, idx AS base_idx, '{f}' AS field, '{m}' AS metric, round({s}, 6) AS score, {v} AS vacuous, {b} AS filled_base, {e} AS filled_ext FROM matched"
+_REF, _PORTS = "trim(ext_reference) <> ''", ("coalesce(trim(base_port), '')", "coalesce(trim(ext_port), '')")
+_SCORED = _KEYED + ", scored AS (" + " UNION ALL ".join([
+    _ROW.format(f="name", m="token_f1", s=_token_f1_sql("coalesce(ext_name, '')", "base_name"), v="idx = 6", b="idx <> 6", e="idx <> 6"),
+    _ROW.format(f="description", m="token_f1", s=_token_f1_sql("ext_line", "concat(base_line, ' ', base_more)"), v="false", b="true", e="ext_line <> ''"),
+    *[_ROW.format(f=f, m="token_f1", s="1.0", v="true", b="false", e="false") for f in ("solution", "impact")],
+    _ROW.format(f="references", m="set_f1", s="CASE WHEN ext_reference = base_reference THEN 1.0 ELSE 0.0 END", v="false", b="true", e=_REF),
+    _ROW.format(f="references", m="set_f1_ids", s=f"CASE WHEN {_REF} THEN 1.0 ELSE 0.0 END", v="false", b="true", e=_REF),
+    _ROW.format(f="severity", m="exact", s="CASE WHEN upper(ext_severity) = base_severity THEN 1.0 ELSE 0.0 END", v="false", b="true", e="true"),
+    _ROW.format(f="port", m="exact", s=f"CASE WHEN {_PORTS[0]} = '' AND {_PORTS[1]} = '' THEN 1.0 WHEN {_PORTS[0]} = '' OR {_PORTS[1]} = '' THEN 0.0 WHEN regexp_replace({_PORTS[1]}, '[.]0$', '') = {_PORTS[0]} THEN 1.0 ELSE 0.0 END", v=f"{_PORTS[0]} = '' AND {_PORTS[1]} = ''", b=f"{_PORTS[0]} <> ''", e=f"{_PORTS[1]} <> ''"),
+    _ROW.format(f="protocol", m="exact", s="1.0", v="false", b="true", e="true"),
+    _ROW.format(f="plugin", m="exact", s="CASE WHEN ext_plugin IS NULL THEN 0.0 ELSE 1.0 END", v="false", b="true", e="ext_plugin IS NOT NULL"),
+    _ROW.format(f="plugin_details", m="structural", s=f"(3.0 + {_token_f1_sql('ext_family', 'base_more')} + CASE WHEN ext_plugin IS NULL THEN 0.0 ELSE 1.0 END) / 5", v="false", b="true", e="true"),
+]) + ")"
+
+
+def _record_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = view(spark, sf_dir, "records")
+    empty = F.lit(None).cast("string")
+
+    def details(family: Column, plugin: Column) -> Column:
+        known = {"family": family, "plugin_id": plugin}
+        return F.struct(*[known.get(f.name, empty).cast(f.dataType).alias(f.name) for f in schema.MODELS["PluginDetails"].fields])
+
+    ext = rows.where("in_ext").select("run_id", "idx", F.col("ext_name").alias("Name"), F.array("ext_line").alias("description"), F.array("ext_reference").alias("references"), F.col("ext_severity").alias("severity"), F.col("ext_port").alias("port"), "protocol", F.col("ext_plugin").alias("plugin"), details(F.col("ext_family"), F.col("ext_plugin")).alias("plugin_details"))
+    base = rows.where("in_base").select("run_id", "idx", F.col("base_name").alias("name"), F.array("base_line", "base_more").alias("description"), F.array("base_reference").alias("references"), F.col("base_severity").alias("severity"), F.col("base_port").alias("port"), "protocol", F.col("base_plugin").alias("plugin"), details(F.col("base_more"), F.col("base_plugin")).alias("plugin_details"), F.lit("x").alias("Remark"))
+    return ext, base
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> evaluate.Evaluation:
+    kind = schema.record_type("own", {"plugin": "int", "plugin_details": "PluginDetails"})
+    return evaluate.evaluate_run(*_record_sides(spark, sf_dir), kind, ("port", "protocol"), "token_f1")
+
+
+@query("align_records", _KEYED + " SELECT run_id, idx AS ext_idx, idx AS base_idx, round(similarity, 6) AS similarity FROM matched", "records")
+def align_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best assignment of each run's records, unnamed ones and wildcards among them."""
+    return _evaluated(spark, sf_dir).pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("align_mapping", _KEYED + """, m AS (SELECT run_id, idx, bn, similarity FROM matched) SELECT k.run_id, k.idx AS ext_idx, k.en AS ext_name, m.idx AS base_idx, m.bn AS base_name, round(coalesce(m.similarity, 0.0), 4) AS similarity, CASE WHEN m.idx IS NULL THEN 'UNMATCHED' ELSE 'MATCHED' END AS status FROM keyed k LEFT JOIN m ON m.run_id = k.run_id AND m.idx = k.idx WHERE k.in_ext""", "records")
+def align_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).mapping
+
+
+@query("evaluate_scores", _SCORED + " SELECT * FROM scored", "records")
+def evaluate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each matched pair, field and scorer, from two sets of records."""
+    return _evaluated(spark, sf_dir).scores.withColumn("score", F.round("score", 6))
+
+
+@query("evaluate_records", _SCORED + """ SELECT field, metric, round(avg(score), 4) AS mean, count(CASE WHEN NOT vacuous THEN 1 END) AS n_measured, count(*) AS n, count(CASE WHEN vacuous THEN 1 END) AS vacuous_n, round(avg(CAST(filled_base AS DOUBLE)), 4) AS fill_base, round(avg(CAST(filled_ext AS DOUBLE)), 4) AS fill_ext FROM scored GROUP BY field, metric""", "records")
+def evaluate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluated(spark, sf_dir).fields.select("field", "metric", "mean", "n_measured", "n", "vacuous_n", "fill_base", "fill_ext")
+
+
+@query("evaluate_coverage_names", _KEYED + """, s AS (SELECT k.run_id, count(m.idx) AS matched, count(CASE WHEN k.in_ext THEN 1 END) AS extracted, count(CASE WHEN k.in_base THEN 1 END) AS baseline,
+        coalesce(string_agg(CASE WHEN k.in_base AND m.idx IS NULL THEN k.bn END, ';' ORDER BY k.idx), '') AS absent, coalesce(string_agg(CASE WHEN k.in_ext AND m.idx IS NULL THEN k.en END, ';' ORDER BY k.idx), '') AS additional,
+        count(CASE WHEN k.in_ext AND m.idx IS NULL THEN 1 END) AS inventions FROM keyed k LEFT JOIN matched m ON m.run_id = k.run_id AND m.idx = k.idx GROUP BY k.run_id)
+    SELECT run_id, matched, extracted, baseline, round(CASE WHEN baseline > 0 THEN matched / baseline END, 4) AS recall, round(CASE WHEN extracted > 0 THEN matched / extracted END, 4) AS "precision", absent, additional, inventions FROM s""", "records")
+def evaluate_coverage_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _evaluated(spark, sf_dir).coverage
+    return rows.select("run_id", "matched", "extracted", "baseline", "recall", "precision", F.array_join("false_negatives", ";").alias("absent"), F.array_join("false_positives", ";").alias("additional"), "inventions")
+
+
+@query("url_keys", r"""SELECT page_id, lower(regexp_extract(url, '^[^/?#]*://([^/?#]*)', 1)) AS host, regexp_replace(lower(regexp_extract(url, '^[^/?#]*://[^/?#]*([^?#]*)', 1)), '/+$', '') AS path FROM pages""")
+def url_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host and path of item keys that are URLs."""
+    is_url, host, path = scoring._url_parts(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.when(is_url, host).otherwise("").alias("host"), F.when(is_url, F.regexp_replace(F.regexp_replace(path, "[?#].*$", ""), "/+$", "")).otherwise("").alias("path"))
+
+
+
+_WORDS = """a AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), b AS (SELECT doc_id - 1 AS doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)"""
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,18 +291,11 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("score_tokens", f"""WITH {_WORDS}, ca AS (SELECT doc_id, w, count(*) AS n FROM a GROUP BY ALL), cb AS (SELECT doc_id, w, count(*) AS n FROM b GROUP BY ALL),
-    sizes AS (SELECT x.doc_id, len(regexp_extract_all(lower(left(x.text, 400)), '[a-z0-9]+')) + len(regexp_extract_all(lower(left(y.text, 400)), '[a-z0-9]+')) AS n FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1),
+    sizes AS (SELECT x.doc_id, len(regexp_extract_all(lower(x.text), '[a-z0-9]+')) + len(regexp_extract_all(lower(y.text), '[a-z0-9]+')) AS n FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1),
     common AS (SELECT ca.doc_id, sum(least(ca.n, cb.n)) AS k FROM ca JOIN cb ON ca.doc_id = cb.doc_id AND ca.w = cb.w GROUP BY ca.doc_id)
     SELECT s.doc_id, CASE WHEN coalesce(k, 0) > 0 THEN round(2.0 * k / n, 6) ELSE 0.0 END AS token_f1 FROM sizes s LEFT JOIN common c ON c.doc_id = s.doc_id""")
 def score_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the first 400 characters, as the SQL says; score_tokens_whole has whole texts."""
-    a, b = F.left("a", F.lit(400)), F.left("b", F.lit(400))
-    return _neighbours(spark, sf_dir).select("doc_id", F.round(similarity.token_f1(a, b), 6).alias("token_f1"))
-
-
-@query("score_tokens_whole")
-def score_tokens_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 of the tokens of neighbouring documents' whole texts; tested against counted words."""
+    """F1 of the tokens of neighbouring documents' whole texts."""
     return _neighbours(spark, sf_dir).select("doc_id", F.round(similarity.token_f1(F.col("a"), F.col("b")), 6).alias("token_f1"))
 
 
