@@ -8,9 +8,10 @@ differ once in about 10^5 pairs.)
 
 Groups are not expanded into pairs. First each member of a bucket is compared with the bucket's smallest member (a star),
 and what links is joined into components. After that only members of a bucket that are still in different components
-are compared, signature with signature in blocks of at most `BLOCK` rows, a pair only in the first bucket that both are
-in; what passes the distance and a second sketch (`BINS` minima of one permutation, with an allowance for its error) goes
-on. Whatever links is confirmed on full sets.
+are compared: those of its largest component, each once, with the outsiders, and the outsiders with each other, signature
+with signature in blocks of about `BLOCK` rows, a pair only in the first bucket that both are in. What passes the distance
+and a second sketch (`BINS` minima of one permutation; a pair at the threshold falls short of it with the same odds of about
+1 in 10^5, however few bins the sets fill) goes on. Whatever links is confirmed on full sets.
 
 Defined results: without words the set is empty and the document links with nothing; with one to four words the whole
 sequence is its one shingle. A null doc_id takes no part: its component is null and it is kept. Rows that repeat a doc_id
@@ -30,8 +31,8 @@ from siftwell.llm.sp_codec import Store
 from siftwell.plans.staging import drop, ship_package, stage
 
 WIDTH, SLOTS, CHUNKS, DISTANCE, BINS, BLOCK = 5, 64, 16, 31, 512, 1024
-#: A link: 100 * intersection >= LINK * union. The second sketch may be short of it by this much.
-LINK, ALLOWANCE = 75, 0.07
+#: A link: 100 * intersection >= LINK * union. The second sketch may be short of it by this many standard deviations.
+LINK, ALLOWANCE = 75, 4.3
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 FEW = 2_000_000
 
@@ -178,7 +179,7 @@ def _compare(members: DataFrame) -> DataFrame:
     members: key, p, q (blocks), own (the row's block), cls, comp, sig, bins; sorted by (key, p, q) within partitions. A row
     is compared with those that follow it at distance 1, 2, ... in its group, all groups at once.
     """
-    enough = LINK / 100 - ALLOWANCE
+    share = LINK / 100
 
     def compared(cols: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out_a, out_b = [], []
@@ -200,7 +201,7 @@ def _compare(members: DataFrame) -> DataFrame:
                 x, y = x[here], y[here]
                 u, v = cols["bins"][x], cols["bins"][y]
                 same, some = ((u == v) & (u > 0)).sum(1), ((u | v) > 0).sum(1)
-                near = same >= enough * some
+                near = same >= share * some - ALLOWANCE * np.sqrt(share * (1 - share) * some)
                 out_a.append(cols["cls"][x[near]])
                 out_b.append(cols["cls"][y[near]])
             step += 1
@@ -280,11 +281,21 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     comps = components(first)
     # What is left: members of a bucket in different components.
     member = keys.select("key", "cls").join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("comp", "cls").alias("comp"))
-    spread = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    spread = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    spread = spread.select("key", F.col("top.comp").alias("main"), blocks(F.col("top.n")).alias("main_blocks"), blocks(F.col("total") - F.col("top.n")).alias("out_blocks"))
     open_ = member.join(spread, "key").join(classes, "cls")
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    placed = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "comp", "sig", "bins")
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    cell = lambda p, q, o: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), o.cast("int").alias("own"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # Negative cells hold a block of the largest component (own -1) and a block of outsiders; the others two blocks of outsiders.
+    of_main = F.transform(every("out_blocks"), lambda j: cell(-1 - own("main_blocks"), j, F.lit(-1)))
+    of_out = F.concat(
+        F.transform(every("main_blocks"), lambda m: cell(-1 - m, own("out_blocks"), own("out_blocks"))), F.transform(every("out_blocks"), lambda j: cell(F.least(own("out_blocks"), j), F.greatest(own("out_blocks"), j), own("out_blocks")))
+    )
+    placed = open_.withColumn("cell", F.explode(F.when(F.col("comp") == F.col("main"), of_main).otherwise(of_out)))
+    placed = placed.select("key", "cell.p", "cell.q", "cell.own", "cls", "comp", "sig", "bins")
     ready = placed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     rest = stage(_verify(_compare(ready).distinct(), sets), "dup-rest")
     return least, components(first.unionByName(rest))

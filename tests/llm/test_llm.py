@@ -214,6 +214,25 @@ def test_large_group_of_near_copies(spark):
     assert got == label
 
 
+def test_bucket_of_one_component_and_outsiders(spark):
+    """Thousands of members of one component share buckets with a few texts that link with some of them or with none."""
+    rng = random.Random(19)
+    base = [f"w{k}" for k in range(60)]
+    texts = {k: " ".join(base[:57] + [f"x{k}", *base[58:]]) for k in range(1, 2500)}
+    for k, n in ((3000, 3), (3001, 4), (3002, 5), (3003, 6), (3004, 1)):
+        w = list(base)
+        for i in rng.sample(range(0, 57), n):
+            w[i] = f"o{k}{i}"
+        texts[k] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(56)} for k, t in texts.items()}
+    assert all(got[k] == 1 for k in range(1, 2500))
+    for k in range(3000, 3005):
+        linked = [j for j in texts if j != k and 100 * len(sets[j] & sets[k]) >= 75 * len(sets[j] | sets[k])]
+        assert got[k] == (min([k, *(got[j] for j in linked)])), (k, linked[:3])
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
