@@ -143,6 +143,39 @@ def sarif_document(records: DataFrame) -> DataFrame:
     return driver.join(results).select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))  # one row each
 
 
+def _one_row(rows: DataFrame, row: Column, name: str) -> DataFrame:
+    """All rows in order of seq as one array; for one report's records."""
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("seq"), row.alias("row")))), lambda x: x["row"]).alias(name))
+
+
+def generic_document(records: DataFrame) -> DataFrame:
+    """One row: the generic findings document as JSON, keys that are null left out."""
+    rows = findings_rows(records)
+    return _one_row(rows, F.to_json(F.struct(*[c for c in rows.columns if c != "seq"])), "findings").select(F.concat(F.lit('{"findings":['), F.array_join("findings", ","), F.lit("]}")).alias("document"))
+
+
+def csaf_document(records: DataFrame, now: str, title: str = "Findings") -> DataFrame:
+    """One row: the CSAF 2.0 document as JSON. now: the time of the release, in ISO form, which also names the document."""
+    rows = advisories(records)
+    product = F.when(F.col("product_id").isNotNull(), F.array("product_id"))
+    note = F.struct(F.lit("description").alias("category"), F.col("note").alias("text"))
+    score = F.struct(F.col("cvss_version").alias("version"), F.col("vector_string").alias("vectorString"), F.col("base_score").alias("baseScore"), F.col("base_severity").alias("baseSeverity"))
+    fix = F.struct(F.lit("mitigation").alias("category"), F.col("mitigation").alias("details"), product.alias("product_ids"))
+    one = F.struct(
+        "title", F.array(note).alias("notes"), "cve", F.when(product.isNotNull(), F.struct(product.alias("known_affected"))).alias("product_status"),
+        F.when(F.col("base_score").isNotNull() & product.isNotNull(), F.array(F.struct(product.alias("products"), score.alias("cvss_v3")))).alias("scores"), F.when(F.col("mitigation").isNotNull(), F.array(fix)).alias("remediations"),
+    )
+    found = _one_row(rows, F.to_json(one), "vulnerabilities")
+    known = hosts(records).withColumn("seq", F.regexp_extract("product_id", r"(\d+)$", 1).cast("long"))
+    products = _one_row(known, F.to_json(F.struct(F.col("host").alias("name"), "product_id")), "products")
+    revision = F.struct(F.lit(now).alias("date"), F.lit("1").alias("number"), F.lit("Initial release").alias("summary"))
+    tracking = F.struct(F.lit(f"{TOOL}-{now}").alias("id"), F.lit(now).alias("initial_release_date"), F.lit(now).alias("current_release_date"), F.lit("1").alias("version"), F.lit("final").alias("status"), F.array(revision).alias("revision_history"))
+    publisher = F.struct(F.lit("vendor").alias("category"), F.lit(TOOL).alias("name"), F.lit("https://example.com").alias("namespace"))
+    head = F.to_json(F.struct(F.lit("csaf_security_advisory").alias("category"), F.lit("2.0").alias("csaf_version"), F.lit(title).alias("title"), publisher.alias("publisher"), tracking.alias("tracking")))
+    text = F.concat(F.lit('{"document":'), head, F.lit(',"product_tree":{"full_product_names":['), F.array_join("products", ","), F.lit(']},"vulnerabilities":['), F.array_join("vulnerabilities", ","), F.lit("]}"))
+    return found.join(products).select(text.alias("document"))  # one row each
+
+
 EXPORTERS = {"generic": findings_rows, "sarif": sarif_results, "csaf": advisories, "cais": institutional, "csv": flat_cells}
 
 
