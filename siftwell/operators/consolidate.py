@@ -66,8 +66,8 @@ def without_repeats(records: DataFrame, seq: str = "seq", name: str = "name") ->
     rest = [c for c in records.columns if c not in (seq, name, "report_id")]
     key = F.to_json(F.struct(normal_name(F.col(name)).alias("n"), *[F.col(f"`{c}`") for c in rest]), {"ignoreNullFields": "false"})
     keyed = records.withColumn("identity", F.sha2(key, 256))
-    first = keyed.groupBy("report_id", "identity").agg(F.min(seq).alias(seq), F.count("*").cast("int").alias("repeats"))
-    return keyed.join(first, ["report_id", "identity", seq]).drop("identity")
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in records.columns]), seq)
+    return keyed.groupBy("report_id", "identity").agg(first.alias("first"), F.count("*").cast("int").alias("repeats")).select("first.*", "repeats")
 
 
 def merge_log(records: DataFrame, count: str = "merged") -> DataFrame:
@@ -78,3 +78,8 @@ def first_of(records: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The first row for each key in the given order."""
     return records.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("place = 1").drop("place")
 
+
+def counts(raw: DataFrame, final: DataFrame) -> DataFrame:
+    """report_id, raw, final: records before and after consolidation; reports that have none left count too."""
+    of = lambda df, name: df.groupBy("report_id").agg(F.count("*").alias(name))
+    return of(raw, "raw").join(of(final, "final"), "report_id", "left").fillna(0, ["final"])

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import once
-from siftwell.plans.staging import stage
+from siftwell.plans.staging import drop, stage
 
 LIKELY = 0.10
 # Suffixes of internal names; what to do for (exploitation, exposure, severity).
@@ -97,7 +97,9 @@ def band(cvss: Column, severity: Column) -> Column:
 def ranked(df: DataFrame, keys: list[Column], into: str = "rank") -> DataFrame:
     """df with its place in the order of keys (which must tell all rows apart), from 1, sorted in ranges side by side."""
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = stage(df.repartitionByRange(n, *keys).withColumn("range_id", F.spark_partition_id()), "ranks")
+    whole = stage(df, "rank-rows")  # ranges are found by a sample of the rows, so these are worked out first
+    parts = stage(whole.repartitionByRange(n, *keys).withColumn("range_id", F.spark_partition_id()), "ranks")
+    drop(whole)
     # A row for each range.
     sizes = parts.groupBy("range_id").agg(F.count("*").alias("range_rows"))
     before = sizes.select("range_id", F.coalesce(F.sum("range_rows").over(W.orderBy("range_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"))
@@ -105,6 +107,28 @@ def ranked(df: DataFrame, keys: list[Column], into: str = "rank") -> DataFrame:
     return out.withColumn(into, (F.col(into) + F.col("rows_before")).cast("long")).drop("range_id", "rows_before")
 
 
+def findings_of(records: DataFrame) -> DataFrame:
+    """records (arrays references; a score, plugin_details and instances where they have them) as findings of the queue.
+
+    Ids come from the references and from what the plugin's details hold as JSON; a record without a host takes the first
+    instance that isn't empty.
+    """
+    has = set(records.columns)
+    parts = [F.array_join("references", " "), *([F.to_json("plugin_details")] if "plugin_details" in has else [])]
+    host = F.nullif(F.col("host"), F.lit(""))
+    if "instances" in has:
+        host = F.coalesce(host, F.try_element_at(F.filter(F.transform("instances", lambda x: x["instance"]), lambda u: u != ""), F.lit(1)))
+    score = F.col("cvss_score") if "cvss_score" in has else F.lit(None)
+    return records.select("seq", "name", host.alias("host"), "severity", score.cast("double").alias("cvss"), F.concat_ws(" ", *parts).alias("reference"))
+
+
+def queue_of(records: DataFrame, kev: DataFrame, epss: DataFrame, snapshot_date: str = "") -> DataFrame:
+    """The queue of records; without any row in both feeds there is nothing to rank by, which is an error."""
+    if not kev.limit(1).count() and not epss.limit(1).count():
+        raise ValueError("both exploit feeds are empty")
+    return queue(findings_of(records), kev, epss, snapshot_date)
+
+
 def queue(findings: DataFrame, kev: DataFrame, epss: DataFrame, snapshot_date: str = "") -> DataFrame:
     """findings (seq, name, host, severity, cvss, reference) to the ranked queue.
 

@@ -80,3 +80,13 @@ def cost(usage: DataFrame, profiles: DataFrame) -> DataFrame:
     """usage (model, prompt_tokens, completion_tokens) and profiles (model, price_in, price_out a million) to calls, sums and cost."""
     total = usage.groupBy("model").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
     return total.join(F.broadcast(profiles), "model", "left").withColumn("cost", F.col("prompt_tokens") / 1e6 * F.coalesce("price_in", F.lit(0.0)) + F.col("completion_tokens") / 1e6 * F.coalesce("price_out", F.lit(0.0)))
+
+
+def answer_limit(most: Column, context: Column, prompt: Column) -> Column:
+    """Tokens that an answer may take: what the context leaves beside the prompt (a third of its characters) and a reserve."""
+    return F.greatest(F.lit(256), F.least(most, context - F.floor(F.length(prompt) / 3) - 128)).cast("int")
+
+
+def in_block_order(records: DataFrame) -> DataFrame:
+    """Bound records in the order of their blocks within a report; a sort within partitions of whole reports."""
+    return records.repartition("report_id").sortWithinPartitions("report_id", "block_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from siftwell.functions import scoring
-from siftwell.operators import align, evaluate, exports, schema
+from siftwell.operators import align, consolidate, evaluate, exports, prioritize, reconcile, schema
 from siftwell.plans.staging import ship_package
 
 
@@ -132,3 +132,24 @@ def test_documents(spark):
     first, second = csaf["vulnerabilities"]
     assert csaf["document"]["tracking"]["current_release_date"] == "2026-01-02T03:04:05Z" and csaf["product_tree"]["full_product_names"] == [{"name": "h1", "product_id": "HOST-1"}]
     assert first["scores"][0]["cvss_v3"] == {"version": "3.1", "vectorString": "CVSS:3.1/AV:N", "baseScore": 7.5, "baseSeverity": "HIGH"} and first["product_status"] == {"known_affected": ["HOST-1"]} and "scores" not in second and second["notes"][0]["text"] == 'Two "q"'
+
+
+def test_queue_of_records(spark):
+    cols = "seq long, name string, host string, severity string, references array<string>, plugin_details struct<family:string>, instances array<struct<instance:string>>, cvss_score double"
+    rows = [(1, "a", "", "HIGH", ["see"], ("cve-2020-1111",), [("",), ("https://Shop.example/x",)], 9.8), (2, "b", "10.0.0.1", "LOW", ["CVE-2021-2222"], None, [], None), (3, "c", None, "LOW", [], None, None, None)]
+    records = spark.createDataFrame(rows, cols)
+    found = {r.seq: r for r in prioritize.findings_of(records).collect()}
+    assert found[1].host == "https://Shop.example/x" and "cve-2020-1111" in found[1].reference and found[2].host == "10.0.0.1" and found[3].host is None
+    kev, epss = spark.createDataFrame([("CVE-2020-1111",)], "cve string"), spark.createDataFrame([], "cve string, epss double")
+    assert prioritize.queue_of(records, kev, epss).count() == 3
+    with pytest.raises(ValueError, match="both"):
+        prioritize.queue_of(records, kev.limit(0), epss)
+
+
+def test_small_parts_of_extraction(spark):
+    rows = spark.createDataFrame([(4096, 8192, "x" * 300), (4096, 512, "x" * 900), (100, 8192, "")], "most int, context int, prompt string")
+    assert [r[0] for r in rows.select(reconcile.answer_limit(F.col("most"), F.col("context"), F.col("prompt"))).collect()] == [4096, 256, 256]
+    raw, final = spark.createDataFrame([("a",), ("a",), ("b",)], "report_id string"), spark.createDataFrame([("a",)], "report_id string")
+    assert {tuple(r) for r in consolidate.counts(raw, final).collect()} == {("a", 2, 1), ("b", 1, 0)}
+    blocks = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "report_id string, block_id int")
+    assert [r.block_id for r in reconcile.in_block_order(blocks).collect() if r.report_id == "a"] == [1, 3]
