@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftwell.functions.scoring import render_text
+from siftwell.functions.similarity import identifiers
 from siftwell.functions.text import unix_lines
 from siftwell.operators.consolidate import first_of
+from siftwell.operators.schema import SEVERITIES
 
 TIERS = {"1": "LOG", "2": "LOW", "3": "MEDIUM", "4": "HIGH", "5": "CRITICAL"}
 
@@ -32,6 +35,43 @@ def tier(severity: Column) -> Column:
     return out
 
 
+def severity_tier(value: Column) -> Column:
+    """A severity in upper case if it is one of the record format's, else as it is without outer blanks."""
+    text = F.trim(value.cast("string"))
+    return F.when(F.upper(text).isin(*SEVERITIES), F.upper(text)).otherwise(text)
+
+
+def reference_list(cell: Column) -> Column:
+    """A cell of references as a list: a written list of quoted texts, lines, or one text; empty cells are empty lists."""
+    text = F.trim(F.coalesce(cell.cast("string"), F.lit("")))
+    quoted = F.from_json(F.regexp_replace(text, r"(?<=[\[,\s])'([^']*)'(?=\s*[,\]])", '"$1"'), "array<string>")
+    lines = F.split(text, r"\r\n|[\n\r]")
+    items = F.when(F.startswith(text, F.lit("[")), F.coalesce(quoted, lines)).otherwise(lines)
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
+
+
+def canonical(rows: DataFrame, columns: list[str], dropped: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of a record type first, missing ones empty, then further ones in their order without the dropped."""
+    own = [F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
+    return rows.select(*own, *[F.col(f"`{c}`") for c in rows.columns if c not in columns and c not in dropped])
+
+
+def changed_cells(before: DataFrame, after: DataFrame, fields: list[str], key: str = "pos") -> DataFrame:
+    """field, the first place at which two versions differ in content, and how many do: references as sets of identifiers,
+    severities in any case, other cells by their text."""
+    kinds = dict(zip(before.columns, (f.dataType for f in before.schema.fields)))
+    both = before.select(key, F.struct(*fields).alias("b")).join(after.select(key, F.struct(*[F.col(f).cast(kinds[f]).alias(f) for f in fields]).alias("a")), key, "full")
+
+    def content(side: Column, name: str) -> Column:
+        if name == "references":
+            return F.array_join(F.array_sort(identifiers(render_text(side[name], kinds[name]))), "\n")
+        text = render_text(side[name], kinds[name])
+        return F.upper(text) if name == "severity" else text
+
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), (~content(F.col("b"), f).eqNullSafe(content(F.col("a"), f))).alias("differs")) for f in fields]))
+    return both.select(key, cells.alias("c")).where("c.differs").groupBy(F.col("c.field").alias("field")).agg(F.min(key).alias("first"), F.count("*").alias("n"))
+
+
 def name_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: distinct names of each side, in both, only in one, and the share of both in the union."""
     rows = left.select("name").distinct().withColumn("l", F.lit(1)).join(right.select("name").distinct().withColumn("r", F.lit(1)), "name", "full")

@@ -213,3 +213,22 @@ def plan_runs(models: DataFrame, reports: DataFrame, n_runs: int, done: DataFram
     """model, report, run, status: the grid, with cached for what is done. Models and runs are few."""
     grid = reports.join(F.broadcast(models.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(n_runs))))))
     return grid.join(done.select("model", "report", "run").distinct().withColumn("cached", F.lit(True)), ["model", "report", "run"], "left").withColumn("status", F.when(F.col("cached"), "cached").otherwise("planned")).drop("cached")
+
+
+def field_means(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+    """metric, target, field, model: mean and deviation over done runs of the run's measured mean, and how many runs measured it.
+
+    Every combination of the metrics of a field with the targets and models of done runs has a row, with no mean where no run
+    measured it. Fields, metrics, targets and models are few; what is made of pairs is summed up by run first.
+    """
+    done = runs.where(F.col("status").isin("ok", "cached")).select("run_id", "target", "model")
+    measured = pairs.where(~F.col("vacuous")).groupBy("run_id", "field", "metric").agg(F.avg("score").alias("mean"))
+    each = measured.join(done, "run_id").groupBy("metric", "target", "field", "model").agg(F.round(F.avg("mean"), 4).alias("mean"), F.round(F.stddev_pop("mean"), 4).alias("std"), F.count("*").alias("n"))
+    kinds = pairs.join(done.select("run_id"), "run_id", "left_semi").select("field", "metric").distinct()
+    grid = kinds.join(done.select("target").distinct()).join(done.select("model").distinct())
+    return grid.join(each, ["metric", "target", "field", "model"], "left").fillna(0, ["n"])
+
+
+def pooled_boxes(runs: DataFrame, value: str) -> DataFrame:
+    """boxes() of a value by model over all targets; a model's runs are few."""
+    return boxes(runs.where(F.col("status").isin("ok", "cached") & F.col(value).isNotNull()), value, "model")

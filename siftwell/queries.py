@@ -335,6 +335,15 @@ def evaluate_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.worst_pairs(view(spark, sf_dir, "pairs"))
 
 
+@query("experiment_fields", """, done AS (SELECT run_id, target, model FROM runs WHERE status IN ('ok', 'cached')), m AS (SELECT run_id, field, metric, avg(score) AS mean FROM pairs WHERE NOT vacuous GROUP BY ALL),
+    e AS (SELECT metric, target, field, model, round(avg(mean), 4) AS mean, round(stddev_pop(mean), 4) AS std, count(*) AS n FROM m JOIN done ON done.run_id = m.run_id GROUP BY metric, target, field, model),
+    k AS (SELECT DISTINCT field, metric FROM pairs WHERE run_id IN (SELECT run_id FROM done))
+    SELECT k.metric, t.target, k.field, o.model, e.mean, e.std, coalesce(e.n, 0) AS n FROM k CROSS JOIN (SELECT DISTINCT target FROM done) t CROSS JOIN (SELECT DISTINCT model FROM done) o LEFT JOIN e ON e.metric = k.metric AND e.target = t.target AND e.field = k.field AND e.model = o.model""", "runs", "pairs")
+def experiment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of fields and metrics by target and model, with every combination."""
+    return evaluate.field_means(view(spark, sf_dir, "pairs"), view(spark, sf_dir, "runs"))
+
+
 @query("experiment_levels", """, done AS (SELECT *, CAST(false_negatives AS DOUBLE) / baseline_count AS absent FROM runs WHERE status IN ('ok', 'cached'))
     SELECT target, model, count(*) AS n, round(avg(recall), 4) AS recall_mean, round(stddev_pop(recall), 4) AS recall_std, round(avg("precision"), 4) AS precision_mean, round(stddev_pop("precision"), 4) AS precision_std, round(avg(absent), 4) AS absent_mean, round(stddev_pop(absent), 4) AS absent_std, round(sum(cost), 4) AS cost, round(avg(duration), 4) AS duration_mean FROM done GROUP BY GROUPING SETS ((target, model), (model))""", "runs")
 def experiment_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from siftwell.functions import scoring
-from siftwell.operators import align, consolidate, evaluate, exports, prioritize, reconcile, schema
+from siftwell.operators import align, baselines, consolidate, evaluate, exports, prioritize, reconcile, schema
 from siftwell.plans.staging import ship_package
 
 
@@ -153,3 +153,15 @@ def test_small_parts_of_extraction(spark):
     assert {tuple(r) for r in consolidate.counts(raw, final).collect()} == {("a", 2, 1), ("b", 1, 0)}
     blocks = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "report_id string, block_id int")
     assert [r.block_id for r in reconcile.in_block_order(blocks).collect() if r.report_id == "a"] == [1, 3]
+
+
+def test_truth_is_normalised(spark):
+    rows = spark.createDataFrame([(" high", "['CVE-2020-1', ' b ']"), ("odd ", "x\n\n y"), (None, None), ("LOG", "[broken")], "severity string, references string")
+    got = [tuple(r) for r in rows.select(baselines.severity_tier(F.col("severity")), baselines.reference_list(F.col("references"))).collect()]
+    assert got == [("HIGH", ["CVE-2020-1", "b"]), ("odd", ["x", "y"]), (None, []), ("LOG", ["[broken"])]
+    table = spark.createDataFrame([(1, "a", "x")], "more int, b string, old string")
+    assert baselines.canonical(table, ["a", "b"], ("old",)).columns == ["a", "b", "more"]
+    cols = "pos long, severity string, references string, note string"
+    before = spark.createDataFrame([(1, "high", "CVE-2020-1111, CVE-2020-2222", "n"), (2, "LOW", "", "m"), (3, "LOW", None, "k")], cols)
+    after = spark.createDataFrame([(1, "HIGH", "cve 2020-2222\nCVE-2020-1111", "n "), (2, "LOW", None, "other"), (3, "LOG", None, "again")], cols)
+    assert {tuple(r) for r in baselines.changed_cells(before, after, ["severity", "references", "note"]).collect()} == {("severity", 3, 1), ("note", 2, 2)}
