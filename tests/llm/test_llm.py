@@ -527,3 +527,38 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     library = sp_codec.load(tokenizer(MODEL)).library
     assert out and all(library.encode(r.decoded) + [2] == r.token_ids and "@" not in r.decoded and "vile" not in r.decoded for r in out)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, long texts, columns named like helpers, empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    rows = [(k, words(rng, 30), "en", f"s{k % 3}", 0) for k in range(60)] + [(None, "no id here at all", None, None, None), (None, "no id here at all", None, None, None), (70, None, "en", "s1", None), (71, "", "en", "s1", 0), (72, "one mail a@b.org", "en", None, 0), (73, words(rng, 30_000), "en", "s2", 0)]
+    rows.append(rows[0])
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("toxicity_score", "spans", "key", "id", "row", "times", "copy", "size", "rank", "kept_id", "token_count"):
+        docs = docs.withColumn(name, F.lit(7))
+    spark.createDataFrame([(k, 1, int(k % 9 == 0)) for k in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/some/labels.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["toxicity"](spark, docs, f"{tmp_path}/none").count() == len(rows)
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, docs, f"{tmp_path}/some")
+        assert out.columns == docs.columns or name == "encoding"
+        got = out.collect()
+        assert all(r.toxicity_score == 7 for r in got) if name != "encoding" else len(got) == len(rows)
+        if name == "near_duplicates":
+            assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+        if name == "personal_data":
+            assert len(got) == len(rows) and {r.text for r in got if r.doc_id == 72} == {"one mail [EMAIL]"} and {r.text for r in got if r.doc_id == 70} == {None}
+        if name == "mixing":
+            assert not {r.doc_id for r in got} & {70, 71}
+        assert step(spark, docs.limit(0), f"{tmp_path}/some").count() == 0
+
+
+def test_neighbours_keep_to_their_columns(spark):
+    rows = spark.createDataFrame([(k, [float(k % 5 + 1), 1.0, float(k)]) for k in range(60)], "vec_id long, embedding array<double>")
+    plain = sorted(tuple(r) for r in neighbours.nearest(rows).collect())
+    more = rows.withColumn("v", F.lit(1)).withColumn("shard", F.lit("x")).withColumn("block", F.lit(None).cast("int")).withColumn("score", F.lit(2))
+    assert sorted(tuple(r) for r in neighbours.nearest(more.unionByName(more.limit(3))).collect()) == plain and len(plain) == 10
