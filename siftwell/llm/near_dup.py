@@ -10,8 +10,10 @@ Groups are not expanded into pairs. First each member of a bucket is compared wi
 and what links is joined into components. After that only members of a bucket that are still in different components
 are compared: those of its largest component, each once, with the outsiders, and the outsiders with each other, signature
 with signature in blocks of about `BLOCK` rows, a pair only in the first bucket that both are in. What passes the distance
-and a second sketch (`BINS` minima of one permutation; a pair at the threshold falls short of it with the same odds of about
-1 in 10^5, however few bins the sets fill) goes on. Whatever links is confirmed on full sets.
+then has to pass one of two tests. Sets of up to `WHOLE` shingles carry all their hashes, cut to 32 bits, so a pair of which
+one has at most `WHOLE` * LINK / 100 shingles is decided by a bound that no link falls short of. Longer sets carry a second
+sketch (`BINS` minima of one permutation; a pair at the threshold falls short of it with odds of about 1 in 10^5). Whatever
+goes on is confirmed on full sets.
 
 Defined results: without words the set is empty and the document links with nothing; with one to four words the whole
 sequence is its one shingle. A null doc_id takes no part: its component is null and it is kept. Rows that repeat a doc_id
@@ -33,6 +35,8 @@ from siftwell.plans.staging import drop, ship_package, stage
 WIDTH, SLOTS, CHUNKS, DISTANCE, BINS, BLOCK = 5, 64, 16, 31, 512, 1024
 #: A link: 100 * intersection >= LINK * union. The second sketch may be short of it by this many standard deviations.
 LINK, ALLOWANCE = 75, 4.3
+#: Sets of up to this many shingles go to the comparison with all their hashes (4 bytes each).
+WHOLE = 128
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 FEW = 2_000_000
 
@@ -99,8 +103,34 @@ def _sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return sig, bins
 
 
+def _cut(hashes: np.ndarray) -> np.ndarray:
+    """Distinct 32-bit values of a set's hashes, none of them 0."""
+    return np.unique(np.maximum((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.uint32(1)))
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which pairs of sets may link; a pair that links is never left out.
+
+    x, y: rows of the sets' values by `_cut`, filled up with 0; n, m: the sets' sizes. What two sets have in common gives at least
+    as many common values but for those that fell together within the first.
+    """
+    both = np.sort(np.concatenate([x, y], 1), 1)
+    common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > 0)).sum(1) + n - (x > 0).sum(1)
+    return 100 * common >= LINK * (n + m - common)
+
+
+def _rows(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    """A binary column as rows of values, filled up with 0."""
+    values = column.to_pylist()
+    sizes = np.array([len(v) for v in values]) // np.dtype(kind).itemsize
+    out = np.zeros((len(values), width), kind)
+    out[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(values), kind)
+    return out
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, two hashes of the set, signature, second sketch (the last two empty for no set)."""
+    """Per row: doc_id, n_shingles, two hashes of the set, signature, second sketch (of sets that some longer one than `WHOLE`
+    could link with), and the set's hashes in 32 bits (of sets up to `WHOLE`). What a row doesn't have is empty."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +142,17 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets = [shingles(t.as_py()) for t in part.column(1)]
                 sig, bins = _sketch(sets)
                 sums = [[int(_mix(s + w).sum().view(np.int64)) if len(s) else 0 for s in sets] for w in weights]
+                binary = [
+                    [r.tobytes() if len(s) else b"" for r, s in zip(sig, sets)],
+                    [r.tobytes() if 100 * len(s) > LINK * WHOLE else b"" for r, s in zip(bins, sets)],
+                    [_cut(s).tobytes() if len(s) <= WHOLE else b"" for s in sets],
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in sums), pa.array([r.tobytes() if len(s) else b"" for r, s in zip(sig, sets)], pa.binary()), pa.array([r.tobytes() if len(s) else b"" for r, s in zip(bins, sets)], pa.binary())],
-                    names=["doc_id", "n_shingles", "h1", "h2", "sig", "bins"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in sums), *(pa.array(x, pa.binary()) for x in binary)],
+                    names=["doc_id", "n_shingles", "h1", "h2", "sig", "bins", "whole"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bins binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, bins binary, whole binary")
 
 
 def _key(sig: np.ndarray, out: int | np.ndarray, chunk: int | np.ndarray) -> np.ndarray:
@@ -174,13 +209,21 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _compare(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket and block pair that are in different components and pass both sketches.
+    """Pairs of one bucket and block pair that are in different components and may link.
 
-    members: key, p, q (blocks), own (the row's block), cls, comp, sig, bins; sorted by (key, p, q) within partitions. A row
+    members: key, p, q (blocks), own (the row's block), cls, comp, n_shingles, sig, bins, whole; sorted by (key, p, q) within partitions. A row
     is compared with those that follow it at distance 1, 2, ... in its group, all groups at once.
     """
     share = LINK / 100
 
+    def fits(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return may_link(cols["whole"][x], cols["whole"][y], cols["n_shingles"][x], cols["n_shingles"][y])
+
+    def near_bins(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        u, v = cols["bins"][x], cols["bins"][y]
+        same, some = ((u == v) & (u > 0)).sum(1), ((u | v) > 0).sum(1)
+        return same >= share * some - ALLOWANCE * np.sqrt(share * (1 - share) * some)
+
     def compared(cols: dict[str, np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out_a, out_b = [], []
         row = np.arange(len(group))
@@ -199,11 +242,13 @@ def _compare(members: DataFrame) -> DataFrame:
                 x, y = x[near], y[near]
                 here = _first_shared(cols["sig"][x], cols["sig"][y]) == cols["key"][x]
                 x, y = x[here], y[here]
-                u, v = cols["bins"][x], cols["bins"][y]
-                same, some = ((u == v) & (u > 0)).sum(1), ((u | v) > 0).sum(1)
-                near = same >= share * some - ALLOWANCE * np.sqrt(share * (1 - share) * some)
-                out_a.append(cols["cls"][x[near]])
-                out_b.append(cols["cls"][y[near]])
+                n, m = cols["n_shingles"][x], cols["n_shingles"][y]
+                alike = 100 * np.minimum(n, m) >= LINK * np.maximum(n, m)
+                short = 100 * np.minimum(n, m) <= LINK * WHOLE
+                for x, y, which in ((x[alike & short], y[alike & short], fits), (x[alike & ~short], y[alike & ~short], near_bins)):
+                    may = which(cols, x, y)
+                    out_a.append(cols["cls"][x[may]])
+                    out_b.append(cols["cls"][y[may]])
             step += 1
         a, b = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (out_a, out_b))
         return np.minimum(a, b), np.maximum(a, b)
@@ -214,14 +259,14 @@ def _compare(members: DataFrame) -> DataFrame:
         def work(rows: list[pa.RecordBatch], last: bool):
             table = pa.Table.from_batches(rows).combine_chunks()
             n = table.num_rows
-            named = {c: table.column(c).to_numpy() for c in ("key", "p", "q", "own", "cls", "comp")}
+            named = {c: table.column(c).to_numpy() for c in ("key", "p", "q", "own", "cls", "comp", "n_shingles")}
             new = np.concatenate([[True], (named["key"][1:] != named["key"][:-1]) | (named["p"][1:] != named["p"][:-1]) | (named["q"][1:] != named["q"][:-1])])
             whole = n if last else int(np.flatnonzero(new)[-1])
             if whole:
                 named = {c: v[:whole] for c, v in named.items()}
                 part = table.slice(0, whole)
-                named["sig"] = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(whole, SLOTS)
-                named["bins"] = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(whole, BINS)
+                for name, kind, width in (("sig", np.uint16, SLOTS), ("bins", np.uint8, BINS), ("whole", np.uint32, WHOLE)):
+                    named[name] = _rows(part.column(name), kind, width)
                 a, b = compared(named, np.cumsum(new[:whole]))
                 pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
@@ -263,7 +308,7 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Classes (cls, h1, h2, n_shingles) and the labels of those that link with another."""
     some = sketched.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     least = stage(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("cls")), "dup-classes")
-    classes = stage(some.join(least, ["h1", "h2", "n_shingles"]).where("doc_id = cls").dropDuplicates(["cls"]).select("cls", "sig", "bins"), "dup-sketches")
+    classes = stage(some.join(least, ["h1", "h2", "n_shingles"]).where("doc_id = cls").dropDuplicates(["cls"]).select("cls", "n_shingles", "sig", "bins", "whole"), "dup-sketches")
     keys = stage(_shared(_keys(classes)), "dup-keys")
     # Sets of the classes that share a bucket with another.
     ids = stage(keys.select("cls").distinct(), "dup-ids")
@@ -295,7 +340,7 @@ def links(docs: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.transform(every("main_blocks"), lambda m: cell(-1 - m, own("out_blocks"), own("out_blocks"))), F.transform(every("out_blocks"), lambda j: cell(F.least(own("out_blocks"), j), F.greatest(own("out_blocks"), j), own("out_blocks")))
     )
     placed = open_.withColumn("cell", F.explode(F.when(F.col("comp") == F.col("main"), of_main).otherwise(of_out)))
-    placed = placed.select("key", "cell.p", "cell.q", "cell.own", "cls", "comp", "sig", "bins")
+    placed = placed.select("key", "cell.p", "cell.q", "cell.own", "cls", "comp", "n_shingles", "sig", "bins", "whole")
     ready = placed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     rest = stage(_verify(_compare(ready).distinct(), sets), "dup-rest")
     return least, components(first.unionByName(rest))
