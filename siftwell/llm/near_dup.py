@@ -10,8 +10,8 @@ Groups are not expanded into pairs. First each member of a bucket is compared wi
 and what links is joined into components. After that only members of a bucket that are still in different components
 are compared: those of its largest component, each once, with the outsiders, and the outsiders with each other, signature
 with signature in blocks of about `BLOCK` rows, a pair only in the first bucket that both are in. What passes the distance
-then has to pass one of two tests. Sets of up to `WHOLE` shingles carry all their hashes, cut to 32 bits, so a pair of which
-one has at most `WHOLE` * LINK / 100 shingles is decided by a bound that no link falls short of. Longer sets carry a second
+then has to pass one of two tests. Sets of up to `WHOLE` shingles carry all their hashes, cut to 16 bits, so a pair of which
+one has at most `WHOLE` * LINK / 100 shingles has to reach a bound that no link falls short of. Longer sets carry a second
 sketch (`BINS` minima of one permutation; a pair at the threshold falls short of it with odds of about 1 in 10^5). Whatever
 goes on is confirmed on full sets.
 
@@ -35,8 +35,8 @@ from siftwell.plans.staging import drop, ship_package, stage
 WIDTH, SLOTS, CHUNKS, DISTANCE, BINS, BLOCK = 5, 64, 16, 31, 512, 1024
 #: A link: 100 * intersection >= LINK * union. The second sketch may be short of it by this many standard deviations.
 LINK, ALLOWANCE = 75, 4.3
-#: Sets of up to this many shingles go to the comparison with all their hashes (4 bytes each).
-WHOLE = 128
+#: Sets of up to this many shingles go to the comparison with all their hashes (2 bytes each); as many as the sketch has bins.
+WHOLE = BINS
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 FEW = 2_000_000
 
@@ -104,8 +104,8 @@ def _sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(hashes: np.ndarray) -> np.ndarray:
-    """Distinct 32-bit values of a set's hashes, none of them 0."""
-    return np.unique(np.maximum((hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.uint32(1)))
+    """Distinct 16-bit values of a set's hashes, none of them 0."""
+    return np.unique(np.maximum((hashes & np.uint64(0xFFFF)).astype(np.uint16), np.uint16(1)))
 
 
 def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -114,8 +114,9 @@ def may_link(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     x, y: rows of the sets' values by `_cut`, filled up with 0; n, m: the sets' sizes. What two sets have in common gives at least
     as many common values but for those that fell together within the first.
     """
-    both = np.sort(np.concatenate([x, y], 1), 1)
-    common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > 0)).sum(1) + n - (x > 0).sum(1)
+    used = [(z > 0).sum(1) for z in (x, y)]
+    both = np.sort(np.concatenate([z[:, : u.max(initial=0)] for z, u in zip((x, y), used)], 1), 1)
+    common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] > 0)).sum(1) + n - used[0]
     return 100 * common >= LINK * (n + m - common)
 
 
@@ -130,7 +131,7 @@ def _rows(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, two hashes of the set, signature, second sketch (of sets that some longer one than `WHOLE`
-    could link with), and the set's hashes in 32 bits (of sets up to `WHOLE`). What a row doesn't have is empty."""
+    could link with), and the set's hashes in 16 bits (of sets up to `WHOLE`). What a row doesn't have is empty."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +266,7 @@ def _compare(members: DataFrame) -> DataFrame:
             if whole:
                 named = {c: v[:whole] for c, v in named.items()}
                 part = table.slice(0, whole)
-                for name, kind, width in (("sig", np.uint16, SLOTS), ("bins", np.uint8, BINS), ("whole", np.uint32, WHOLE)):
+                for name, kind, width in (("sig", np.uint16, SLOTS), ("bins", np.uint8, BINS), ("whole", np.uint16, WHOLE)):
                     named[name] = _rows(part.column(name), kind, width)
                 a, b = compared(named, np.cumsum(new[:whole]))
                 pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)

@@ -236,25 +236,25 @@ def test_bucket_of_one_component_and_outsiders(spark):
 
 def test_bound_of_short_sets_loses_no_link():
     rng = np.random.default_rng(11)
-    for top in (8, 1 << 62):  # values that fall together within 32 bits, and values that don't
+    for top in (8, 1 << 62):  # values that fall together within 16 bits, and values that hardly do
         rows = [rng.integers(1, top, rng.integers(1, 40), dtype=np.uint64) * np.uint64(1 << 30 if top == 8 else 1) for _ in range(300)]
         sets = [np.unique(r) for r in rows] + [np.unique(np.concatenate([r[: max(1, len(r) * 7 // 8)], r[:1] + np.uint64(7)])) for r in rows]
         x, y = [sets[k] for k in range(600)], [sets[(k + 300) % 600] for k in range(600)]
-        filled = [near_dup._rows(pa.chunked_array([pa.array([near_dup._cut(s).tobytes() for s in z], pa.binary())]), np.uint32, near_dup.WHOLE) for z in (x, y)]
+        filled = [near_dup._rows(pa.chunked_array([pa.array([near_dup._cut(s).tobytes() for s in z], pa.binary())]), np.uint16, near_dup.WHOLE) for z in (x, y)]
         n, m = np.array([len(s) for s in x]), np.array([len(s) for s in y])
         may = near_dup.may_link(*filled, n, m)
         both = np.array([len(np.intersect1d(p, q)) for p, q in zip(x, y)])
         link = 100 * both >= near_dup.LINK * (n + m - both)
         assert link.sum() > 100 and may[link].all()
         if top > 8:
-            assert (may == link).all()
+            assert (may & ~link).mean() < 0.02
 
 
 def test_short_texts_at_the_threshold(spark):
     """Texts of few shingles that stand exactly at the similarity, just below it, and about the length where the test changes."""
     rng = random.Random(23)
     texts = {}
-    for n in (7, 10, 60, 99, 100, 101, 128, 132, 133, 170):
+    for n in (7, 10, 60, 100, 170, 387, 388, 389, 515, 516, 517, 690):
         for _ in range(3):
             base = [f"v{rng.randrange(10**9)}" for _ in range(n)]
             for cut in (0, (n - 4) // 4 - 1, (n - 4) // 4, (n - 4) // 4 + 1):
