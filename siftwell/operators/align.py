@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,30 +69,78 @@ def pair_similarity(ext: DataFrame, base: DataFrame, run: str = "run_id", least:
 
 
 def best_assignment(cost) -> list[tuple[int, int]]:
-    """Rows to columns at least cost (no more rows than columns), by shortest augmenting paths with potentials."""
+    """Rows to columns at least cost (no more rows than columns), by shortest augmenting paths with potentials.
+
+    Rows first take a free column at their least cost; the others outbid their owners by what the second column costs
+    more, as long as that helps; only what is left then searches a path.
+    """
     cost = np.asarray(cost, dtype="float64")
     n, m = len(cost), cost.shape[1] if cost.ndim == 2 else 0
-    up, vp, owner, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype="int64"), np.zeros(m + 1, dtype="int64")
-    for row in range(1, n + 1):
-        owner[0], col = row, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=bool)
-        while True:
-            used[col] = True
-            c = cost[owner[col] - 1] - up[owner[col]] - vp[1:]
-            nearer = ~used[1:] & (c < least[1:])
-            least[1:][nearer], way[1:][nearer] = c[nearer], col
+    if not n or not m:
+        return []
+    u, v, column, owner, free = cost.min(axis=1), np.zeros(m), np.full(n, -1), np.full(m, -1), np.ones(m, dtype=bool)
+    waiting, places = [], np.arange(m)
+    for row in range(n):
+        ties = (cost[row] == u[row]) & free
+        col = int(ties.argmax())
+        if ties[col]:
+            column[row], owner[col], free[col] = col, row, False
+        else:
+            waiting.append(row)
+    for _ in range(2):
+        turns, waiting, later = 4 * len(waiting), waiting[::-1], []
+        while waiting and turns:
+            turns -= 1
+            row = waiting.pop()
+            c = cost[row] - v
+            col = int(c.argmin())
+            low, c[col] = c[col], np.inf
+            second = int(c.argmin())
+            u[row] = c[second] if m > 1 else low
+            if low < u[row]:
+                v[col] -= u[row] - low
+            elif not free[col] and m > 1:
+                col = second
+            other = int(owner[col])
+            owner[col], column[row], free[col] = row, col, False
+            if other >= 0:
+                column[other] = -1
+                (waiting if low < u[row] else later).append(other)
+        waiting = waiting[::-1] + later
+    for start in waiting:
+        u[start] = (cost[start] - v).min()
+        least, way, used = np.full(m, np.inf), np.zeros(m, dtype="int64"), np.zeros(m, dtype=bool)
+        rows, low = [start], 0.0
+        while True:  # columns that are equally near are passed together
+            if len(rows) == 1:
+                c, by = cost[rows[0]] - v + (low - u[rows[0]]), rows[0]
+            else:
+                c = cost[rows] - u[rows][:, None]
+                which = c.argmin(axis=0)
+                c, by = c[which, places] - v + low, np.asarray(rows)[which]
+            nearer = (c < least) & ~used
+            np.copyto(least, c, where=nearer)
+            np.copyto(way, by, where=nearer)
             open_ = np.where(used, np.inf, least)
-            col = int(open_[1:].argmin()) + 1
-            delta = open_[col]
-            up[owner[used]] += delta
-            vp[used] -= delta
-            least[~used] -= delta
-            if not owner[col]:
+            low = open_.min()
+            near = open_ == low
+            ends = near & free
+            end = int(ends.argmax())
+            if ends[end]:
                 break
-        while col:
-            owner[col] = owner[way[col]]
-            col = int(way[col])
-    return sorted((int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j])
+            used |= near
+            rows = owner[near]
+        u[start] += low
+        u[owner[used]] += low - least[used]
+        v[used] -= low - least[used]
+        free[end] = False
+        while True:
+            row = int(way[end])
+            owner[end] = row
+            column[row], end = end, int(column[row])
+            if row == start:
+                break
+    return [(i, int(j)) for i, j in enumerate(column)]
 
 
 def common_lengths(names: list[str], others: list[str]) -> np.ndarray:
@@ -119,27 +167,99 @@ def common_lengths(names: list[str], others: list[str]) -> np.ndarray:
     return np.array([known[x] for x in names])
 
 
-def similarities(names: list[str], parts: list, others: list[str], other_parts: list) -> np.ndarray:
+class Lengths:
+    """common_lengths() of distinct names, remembered for names that come again; at most `most` names are held."""
+
+    def __init__(self, most: int = 1024):
+        self.most, self.places, self.known = most, {}, np.full((most, most), -1, dtype="int32")
+
+    def of(self, names: list[str], others: list[str]) -> np.ndarray:
+        if len({*self.places, *names, *others}) > self.most:
+            self.places, self.known[:] = {}, -1
+            if len({*names, *others}) > self.most:
+                return common_lengths(names, others)
+        rows, cols = ([self.places.setdefault(x, len(self.places)) for x in side] for side in (names, others))
+        got = self.known[np.ix_(rows, cols)]
+        new = np.flatnonzero((got < 0).any(axis=1))
+        if len(new):
+            got[new] = common_lengths([names[i] for i in new], others)
+            self.known[np.ix_([rows[i] for i in new], cols)] = got[new]
+        return got
+
+
+def same_similarity(name: str, parts: list[str], other: list[str]) -> float:
+    """same_name_similarity() of one cell."""
+    alike = 1.0 if name else 0.0
+    if all(x == y or x == "*" or y == "*" for x, y in zip(parts, other)):
+        known = sum(WILDCARD if x == "*" or y == "*" else 1.0 for x, y in zip(parts, other)) + (WILDCARD if name == "*" else 1.0)
+        return max(known / (len(parts) + 1), alike)
+    return CONFLICT * alike
+
+
+def similarities(names: list[str], parts: list, others: list[str], other_parts: list, lengths=common_lengths) -> np.ndarray:
     """The whole matrix of a run, as pair_similarity() has its cells."""
-    sizes = np.array([len(x) for x in names])[:, None] + np.array([len(x) for x in others])[None, :]
-    matrix = CONFLICT * (2.0 * common_lengths(names, others) / np.maximum(sizes, 1))
+    some, more = {x: i for i, x in enumerate(dict.fromkeys(names))}, {x: i for i, x in enumerate(dict.fromkeys(others))}
+    sizes = np.array([len(x) for x in some])[:, None] + np.array([len(x) for x in more])[None, :]
+    matrix = CONFLICT * (2.0 * lengths(list(some), list(more)) / np.maximum(sizes, 1))
+    matrix = matrix[np.ix_([some[x] for x in names], [more[x] for x in others])]
     places: dict[str, list[int]] = {}
     for j, name in enumerate(others):
         places.setdefault(name, []).append(j)
     for i, name in enumerate(names):
         for j in places.get(name, ()):
-            alike, both = 1.0 if name else 0.0, list(zip(parts[i], other_parts[j]))
-            if all(x == "*" or y == "*" or x == y for x, y in both):
-                known = sum(WILDCARD if "*" in p else 1.0 for p in both) + (WILDCARD if name == "*" else 1.0)
-                matrix[i, j] = max(known / (len(both) + 1), alike)
-            else:
-                matrix[i, j] = CONFLICT * alike
+            matrix[i, j] = same_similarity(name, parts[i], other_parts[j])
     return matrix
 
 
-def assign(ext: DataFrame, base: DataFrame, run: str = "run_id", threshold: float = THRESHOLD) -> DataFrame:
+def nearest_by_name(names: list[str], parts: list, others: list[str], other_parts: list) -> list[tuple[int, int, float]] | None:
+    """The assignment where names alone settle it: each name's nearest namesake is the only nearest and no one else's.
+
+    A namesake is nearer than any other name (0.9 at least against less than 0.9; unnamed: more than 0 against 0), so no
+    other pair needs a look. None where that doesn't hold.
+    """
+    places: dict[str, list[int]] = {}
+    for j, name in enumerate(others):
+        places.setdefault(name, []).append(j)
+    out, taken = [], set()
+    for i, name in enumerate(names):
+        near, best, alone = -1, 0.0, True
+        for j in places.get(name, ()):
+            s = same_similarity(name, parts[i], other_parts[j])
+            if s > best:
+                near, best, alone = j, s, True
+            elif s == best:
+                alone = False
+        if near < 0 or not alone or near in taken:
+            return None
+        taken.add(near)
+        out.append((i, near, best))
+    return out
+
+
+def best_pairs(names: list[str], parts: list, others: list[str], other_parts: list, lengths=common_lengths, least: float = 0.0) -> list[tuple[int, int, float]]:
+    """(place, other place, similarity) of a run's best assignment; pairs below `least` count for nothing in it."""
+    if len(names) > len(others):
+        return sorted((i, j, s) for j, i, s in best_pairs(others, other_parts, names, parts, lengths, least))
+    if not names:
+        return []
+    found = nearest_by_name(names, parts, others, other_parts)
+    if found is not None:
+        return found
+    matrix = similarities(names, parts, others, other_parts, lengths)
+    if least <= 0:
+        return [(i, j, float(matrix[i, j])) for i, j in best_assignment(-matrix)]
+    matrix = np.where(matrix >= least, matrix, 0.0)
+    rows, cols = np.flatnonzero(matrix.any(axis=1)), np.flatnonzero(matrix.any(axis=0))
+    cost = -matrix[np.ix_(rows, cols)]
+    pairs = best_assignment(cost) if len(rows) <= len(cols) else [(i, j) for j, i in best_assignment(cost.T)]
+    return sorted((int(rows[i]), int(cols[j]), float(-cost[i, j])) for i, j in pairs)
+
+
+def assign(ext: DataFrame, base: DataFrame, run: str = "run_id", threshold: float = THRESHOLD, cut_first: bool = False) -> DataFrame:
     """run, ext_idx, base_idx, similarity: the best assignment of each run's whole matrix, cut at the threshold afterwards.
 
+    cut_first: pairs below the threshold count for nothing in the assignment, so that no pair above it gives way to them.
+
     A run holds the findings of one report (hundreds), so a run is worked on as a whole; runs are spread over the cluster,
     and a task passes through its runs one after the other, holding one run and one batch of rows.
     """
@@ -147,41 +267,34 @@ def assign(ext: DataFrame, base: DataFrame, run: str = "run_id", threshold: floa
     side = lambda df, k: df.select(F.col(run).alias("run"), F.lit(k).alias("side"), F.col("idx").alias("idx"), F.col("norm_name").alias("norm_name"), F.col("parts").alias("parts"))
     rows = side(ext, 0).unionByName(side(base, 1)).where("run IS NOT NULL").repartition("run").sortWithinPartitions("run", "side", "idx")
 
-    def solve(e: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
-        if not len(e) or not len(b):
-            return []
-        matrix = similarities(list(e.norm_name), list(e.parts), list(b.norm_name), list(b.parts))
-        pairs = best_assignment(-matrix) if len(e) <= len(b) else [(i, j) for j, i in best_assignment(-matrix.T)]
-        return [(e.run.iloc[0], int(e.idx.iloc[i]), int(b.idx.iloc[j]), float(matrix[i, j])) for i, j in pairs if matrix[i, j] >= threshold]
-
-    def solved(held: pd.DataFrame) -> pd.DataFrame:
-        side, starts = held.side.to_numpy(), np.flatnonzero(np.concatenate([[True], held.run.to_numpy()[1:] != held.run.to_numpy()[:-1]]))
-        out = []
-        for low, high in zip(starts, [*starts[1:], len(held)]):
-            middle = low + int((side[low:high] == 0).sum())
-            out += solve(held.iloc[low:middle], held.iloc[middle:high])
-        found = pd.DataFrame(out, columns=[run, "ext_idx", "base_idx", "similarity"])
-        return found.astype({"ext_idx": "int64", "base_idx": "int64", "similarity": "float64"})
-
-    def passed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # rows of the run that may go on in the next batch
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in range(5)]  # rows of the run that may go on in the next batch
+        kind, lengths = None, Lengths()
         for batch in batches:
-            if not len(batch):
-                continue
-            ids = batch.run.to_numpy()
-            last = int(np.searchsorted(-(ids[::-1] == ids[-1]).astype(int), 0))  # rows of the last run of the batch
-            if last == len(batch) and (not held or held[-1].run.iloc[-1] == ids[-1]):
-                held.append(batch)
+            if not batch.num_rows:
                 continue
-            whole = pd.concat([*held, batch.iloc[: len(batch) - last]], ignore_index=True)
-            held = [batch.iloc[len(batch) - last :]]
-            if len(whole):
-                yield solved(whole)
-        if held:
-            yield solved(pd.concat(held, ignore_index=True))
+            kind = batch.schema.field(0).type
+            rows = [a + b for a, b in zip(held, (c.to_pylist() for c in batch.columns))]
+            runs = rows[0]
+            starts = [0, *(i for i in range(1, len(runs)) if runs[i] != runs[i - 1])]
+            yield solved(rows, list(zip(starts, starts[1:])), kind, lengths)
+            held = [c[starts[-1] :] for c in rows]
+        if held[0]:
+            yield solved(held, [(0, len(held[0]))], kind, lengths)
+
+    def solved(rows: list[list], spans: list[tuple[int, int]], kind: pa.DataType, lengths: Lengths) -> pa.RecordBatch:
+        runs, sides, idx, names, parts = rows
+        out: list[list] = [[], [], [], []]
+        for low, high in spans:
+            middle = low + sides[low:high].count(0)
+            for i, j, s in best_pairs(names[low:middle], parts[low:middle], names[middle:high], parts[middle:high], lengths.of, threshold if cut_first else 0.0):
+                if s >= threshold:
+                    for c, x in zip(out, (runs[low], idx[low + i], idx[middle + j], s)):
+                        c.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (kind, pa.int64(), pa.int64(), pa.float64()))], names=[run, "ext_idx", "base_idx", "similarity"])
 
     kind = dict(ext.dtypes)[run]
-    return rows.mapInPandas(passed, f"{run} {kind}, ext_idx long, base_idx long, similarity double")
+    return rows.mapInArrow(passed, f"{run} {kind}, ext_idx long, base_idx long, similarity double")
 
 
 def unmatched(ext: DataFrame, base: DataFrame, pairs: DataFrame, run: str = "run_id") -> tuple[DataFrame, DataFrame]:
