@@ -1,6 +1,8 @@
 """Types, scorers, alignment of records without names, evaluation and documents, on small rows with odd values."""
 
+import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +167,38 @@ def test_truth_is_normalised(spark):
     before = spark.createDataFrame([(1, "high", "CVE-2020-1111, CVE-2020-2222", "n"), (2, "LOW", "", "m"), (3, "LOW", None, "k")], cols)
     after = spark.createDataFrame([(1, "HIGH", "cve 2020-2222\nCVE-2020-1111", "n "), (2, "LOW", None, "other"), (3, "LOG", None, "again")], cols)
     assert {tuple(r) for r in baselines.changed_cells(before, after, ["severity", "references", "note"]).collect()} == {("severity", 3, 1), ("note", 2, 2)}
+
+
+def test_assignment_of_pairs_above_the_threshold(spark):
+    """A pair that is alike enough doesn't give way to two that aren't, where these count for nothing."""
+    cols = "run_id string, idx long, name string, port string, protocol string"
+    ext = align.keyed(spark.createDataFrame([("r", 0, "aaaaaaaabb", "1", "tcp"), ("r", 1, "bb", "1", "tcp")], cols), ("port", "protocol"))
+    base = align.keyed(spark.createDataFrame([("r", 0, "aaaaaaaabb", "2", "tcp"), ("r", 1, "aaaaaaaacc", "2", "tcp")], cols), ("port", "protocol"))
+    assert {(r.ext_idx, r.base_idx) for r in align.assign(ext, base, cut_first=True).collect()} == {(0, 0)}
+    assert {(r.ext_idx, r.base_idx) for r in align.assign(ext, base).collect()} == {(0, 1)}
+    parts = [["1"]] * 4
+    for seed in range(200):
+        rng = random.Random(seed)
+        names, others = (["".join(rng.choice("ab") for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 4))] for _ in range(2))
+        for least in (0.0, 0.7):
+            matrix = align.similarities(names, parts, others, parts)
+            worth = [[x if x >= least else 0.0 for x in row] for row in matrix]
+            short, long = (worth, len(others)) if len(names) <= len(others) else (list(zip(*worth)), len(names))
+            best = max(sum(short[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(long), len(short)))
+            got = align.best_pairs(names, parts, others, parts, align.Lengths(6).of, least)
+            assert sum(s for *_, s in got if s >= least) == pytest.approx(best) and len({i for i, *_ in got}) == len({j for _, j, _ in got}) == len(got)
+
+
+def test_words_of_columns_and_lambdas_agree(spark):
+    rows = [("", None), ("a b a", "A a c"), ("É x1 x1", "x1 é"), (None, None), ("...", "a"), ("\u212aelvin \u0130i", "kelvin i")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for r in df.select(scoring.text_f1(F.col("a"), F.col("b")).alias("x"), scoring.token_f1(F.col("a"), F.col("b")).alias("y")).collect():
+        assert r.x == r.y
+
+
+def test_evaluation_scores_only_when_asked(spark):
+    """Alignment alone stages no scores."""
+    rows = spark.createDataFrame([("r", 1, "a b", "high")], "run_id string, idx long, name string, severity string")
+    got = evaluate.evaluate_run(rows, rows, schema.CORE)
+    assert "scores" not in vars(got) and got.pairs.count() == 1 and got.mapping.first().status == "MATCHED" and "scores" not in vars(got)
+    assert {r.field: r.mean for r in got.fields.collect()}["severity"] == 1.0
