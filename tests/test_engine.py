@@ -377,3 +377,39 @@ def test_scores_of_whole_texts(spark, tmp_path):
         n = sum((Counter(p) & Counter(q)).values())
         assert whole[k] == pytest.approx(2 * n / (len(p) + len(q)) if n else 0.0, abs=1e-6)
         assert scores[k].rouge_l == pytest.approx(plain(p, q)) and scores[k].ratio == pytest.approx(1.0 if a == b else plain(a, b))
+
+
+def test_segments_of_reports_that_batches_cut(spark):
+    """Many reports in batches of three lines give what each gives alone, without a window or a second shuffle."""
+    for content, layout in ((NETWORK, segment.NETWORK), (WEB, segment.WEB)):
+        alone = [tuple(r)[1:] for r in blocks(spark, content, layout)]
+        df = spark.createDataFrame([(k, content if k % 3 else "nothing\nhere") for k in range(20)], "report_id long, text string")
+        out = segment.segment(segment.lines(df), layout)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+        was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        try:
+            got = sorted(out.collect(), key=lambda r: (r.report_id, r.block_id))
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+        assert [tuple(r) for r in got] == [(k, *x) for k in range(20) if k % 3 for x in alone]
+
+
+def test_rules_need_no_shuffle_and_lines_are_made_once(spark, tmp_path):
+    import datetime
+
+    from siftwell import queries
+    from siftwell.operators import rules
+
+    df = spark.createDataFrame([("r", 0, "High (CVSS: 9.8)\nNVT: a\nSummary:\n one \n\ntwo\nReferences\nBID: 1, 2", None, None), ("r", 1, "", None, None)], "report_id string, block_id int, text string, port string, protocol string")
+    out = rules.network_fields(df)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.block_id: r for r in out.collect()}
+    assert (got[0].name, got[0].cvss, got[0].description, got[0].references) == ("a", 9.8, ["one", "two"], ["BID:1", "BID:2"]) and (got[1].name, got[1].description) == ("", [])
+    # Two findings at one place leave a block without sections.
+    rows = [(2, 1, 3, 1, 5.0, "A", datetime.date(1995, 1, 1), 1.0, 0.0), (2, 1001, 3, 1, 5.0, "A", datetime.date(1995, 1, 1), 1.0, 0.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate date, l_extendedprice double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a b", "C"), (1001, "d e", "F")], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert len(queries.rule_fields(spark, str(tmp_path)).collect()) == 2
+    assert queries.clean_lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("Host scan start today") <= 2
