@@ -115,18 +115,25 @@ def pair_score(score: Column, a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def lcs(a, b) -> int:
-    """Length of the longest common subsequence, a machine word of rows at a time."""
+    """Length of the longest common subsequence, a machine word of rows at a time; common ends are set aside first."""
     if len(a) > len(b):
         a, b = b, a
+    start, end = 0, 0
+    while start < len(a) and a[start] == b[start]:
+        start += 1
+    while end < len(a) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     places: dict = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for x in b:
-        match = row & places.get(x, 0)
-        row = ((row + match) | (row - match)) & full
-    return len(a) - row.bit_count()
+    for place in map(places.get, b):
+        if place is not None:
+            match = row & place
+            row = (row + match) | (row - match)  # carries above the top stay there, few bits in all
+    return start + end + len(a) - (row & full).bit_count()
 
 
 @pandas_udf(DoubleType())
