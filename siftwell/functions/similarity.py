@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,8 +115,22 @@ def pair_score(score: Column, a: Column, b: Column) -> tuple[Column, Column]:
     return F.when(x & y, 1.0).when(x | y, 0.0).otherwise(score), x & y
 
 
+def _places(b, common: set) -> dict:
+    """For each symbol, the places of b that hold it, as bits."""
+    if isinstance(b, str) and len(b) > 12 * len(common):  # many places each: found by a comparison for each symbol
+        codes = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
+        return {x: int.from_bytes(np.packbits(codes == ord(x), bitorder="little").tobytes(), "little") for x in common}
+    places: dict = {}
+    for i, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << i
+    return places
+
+
 def lcs(a, b) -> int:
-    """Length of the longest common subsequence, a machine word of rows at a time; common ends are set aside first."""
+    """Length of the longest common subsequence: a step for each symbol of the shorter side, over all places of the longer.
+
+    Common ends are set aside first, and so are symbols that only one side has.
+    """
     if len(a) > len(b):
         a, b = b, a
     start, end = 0, 0
@@ -124,16 +139,18 @@ def lcs(a, b) -> int:
     while end < len(a) - start and a[-1 - end] == b[-1 - end]:
         end += 1
     a, b = a[start : len(a) - end], b[start : len(b) - end]
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for place in map(places.get, b):
-        if place is not None:
+    common = set(a) & set(b)
+    if not isinstance(b, str):
+        b = [x for x in b if x in common]
+    places = _places(b, common)
+    steps = [places[x] for x in a if x in common]
+    row = full = (1 << len(b)) - 1
+    for at in range(0, len(steps), 256):
+        for place in steps[at : at + 256]:
             match = row & place
-            row = (row + match) | (row - match)  # carries above the top stay there, few bits in all
-    return start + end + len(a) - (row & full).bit_count()
+            row = (row + match) | (row ^ match)
+        row &= full  # a step carries at most one bit above the top
+    return start + end + len(b) - row.bit_count()
 
 
 @pandas_udf(DoubleType())

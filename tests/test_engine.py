@@ -379,6 +379,47 @@ def test_scores_of_whole_texts(spark, tmp_path):
         assert scores[k].rouge_l == pytest.approx(plain(p, q)) and scores[k].ratio == pytest.approx(1.0 if a == b else plain(a, b))
 
 
+def test_subsequences_step_over_the_shorter_side():
+    """Lengths are the plain definition's for texts and lists; a short text beside a long one takes few steps."""
+    import time
+
+    def plain(p, q):
+        row = [0] * (len(q) + 1)
+        for x in p:
+            last = 0
+            for j, y in enumerate(q, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(5)
+    for k in range(200):
+        a, b = ("".join(rng.choices("aé\U0001f600\ud800 b"[: rng.randint(1, 6)], k=rng.choice([0, 1, 5, 90, 300 if k % 20 == 0 else 40]))) for _ in range(2))
+        assert similarity.lcs(a, b) == similarity.lcs(b, a) == similarity.lcs(list(a), list(b)) == plain(a, b)
+
+    def steps_over_the_longer(a, b):  # as it was
+        places = {}
+        for i, x in enumerate(a):
+            places[x] = places.get(x, 0) | 1 << i
+        full = row = (1 << len(a)) - 1
+        for place in map(places.get, b):
+            if place is not None:
+                match = row & place
+                row = (row + match) | (row - match)
+        return len(a) - (row & full).bit_count()
+
+    def least(f):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            n = f("x" + short + "y", "z" + long + "w")
+            times.append(time.process_time() - start)
+        return min(times), n
+
+    short, long = "".join(rng.choices("abcdefghijklmnopqrst ", k=300)), "".join(rng.choices("abcdefghijklmnopqrst ", k=20_000))
+    (now, n), (before, m) = least(similarity.lcs), least(steps_over_the_longer)
+    assert n == m and now < before / 2
+
+
 def test_segments_of_reports_that_batches_cut(spark):
     """Many reports in batches of three lines give what each gives alone, without a window or a second shuffle."""
     for content, layout in ((NETWORK, segment.NETWORK), (WEB, segment.WEB)):
