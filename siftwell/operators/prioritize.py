@@ -95,16 +95,21 @@ def band(cvss: Column, severity: Column) -> Column:
 
 
 def ranked(df: DataFrame, keys: list[Column], into: str = "rank") -> DataFrame:
-    """df with its place in the order of keys (which must tell all rows apart), from 1, sorted in ranges side by side."""
+    """df with its place in the order of keys (which must tell all rows apart), from 1, sorted in ranges side by side.
+
+    Whole rows are shuffled once: a range is sorted and numbered as it is written, and the ranges' sizes give what to add.
+    """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     whole = stage(df, "rank-rows")  # ranges are found by a sample of the rows, so these are worked out first
-    parts = stage(whole.repartitionByRange(n, *keys).withColumn("range_id", F.spark_partition_id()), "ranks")
+    # The number holds the range above bit 33 and the place in it, from 0, below.
+    parts = stage(whole.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("range_at", F.monotonically_increasing_id()), "ranks")
     drop(whole)
+    parts = parts.withColumn("range_id", F.shiftright("range_at", 33))
     # A row for each range.
     sizes = parts.groupBy("range_id").agg(F.count("*").alias("range_rows"))
     before = sizes.select("range_id", F.coalesce(F.sum("range_rows").over(W.orderBy("range_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"))
-    out = parts.withColumn(into, F.row_number().over(W.partitionBy("range_id").orderBy(*keys))).join(F.broadcast(before), "range_id")
-    return out.withColumn(into, (F.col(into) + F.col("rows_before")).cast("long")).drop("range_id", "rows_before")
+    out = parts.join(F.broadcast(before), "range_id")
+    return out.withColumn(into, F.col("range_at").bitwiseAND((1 << 33) - 1) + F.col("rows_before") + 1).drop("range_at", "range_id", "rows_before")
 
 
 def findings_of(records: DataFrame) -> DataFrame:
@@ -135,17 +140,19 @@ def queue(findings: DataFrame, kev: DataFrame, epss: DataFrame, snapshot_date: s
     Feeds meet the findings through the ids that these name; the feeds' size decides how (no hint is given).
     """
     spark = findings.sparkSession
-    rows = findings.withColumn("ids", cves(F.col("reference")))
-    named = rows.select("seq", F.explode("ids").alias("cve"))
+    named = findings.select("seq", F.explode(cves(F.col("reference"))).alias("cve"))
     hits = named.join(epss, "cve", "left").join(kev.distinct().withColumn("known", F.lit(True)), "cve", "left")
     signals = hits.groupBy("seq").agg(F.coalesce(F.max("epss"), F.lit(0.0)).alias("epss"), F.coalesce(F.bool_or("known"), F.lit(False)).alias("kev"))
-    table = spark.createDataFrame([tuple(x.split()) for x in DECISIONS.strip().splitlines()], "exploitation string, exposure string, severity_band string, category string")
-    exploitation = F.when(F.size("ids") == 0, "unknown").when(F.col("kev"), "active").when(F.col("epss") >= LIKELY, "likely").otherwise("none")
+    # Rows are shuffled with short columns: what follows from the decision is one number, the category's place before that of the row.
+    decisions = [tuple(x.split()) for x in DECISIONS.strip().splitlines()]
+    numbered = [(CATEGORIES.index(d[3]) * len(decisions) + k, *d) for k, d in enumerate(decisions)]
+    table = F.broadcast(spark.createDataFrame(numbered, "decision int, exploitation string, exposure string, severity_band string, category string"))  # 24 rows
+    rows = findings.select("seq", "name", F.coalesce("host", F.lit("")).alias("host"), band(F.col("cvss"), F.col("severity")).alias("severity_band"), "cvss", F.array_join(cves(F.col("reference")), ", ").alias("cves"))
     rows = rows.join(signals, "seq", "left").fillna({"kev": False, "epss": 0.0})
-    rows = rows.select("seq", "name", F.coalesce("host", F.lit("")).alias("host"), exposure(F.col("host")).alias("exposure"), exploitation.alias("exploitation"), band(F.col("cvss"), F.col("severity")).alias("severity_band"), "kev", F.round("epss", 5).alias("epss"), "cvss", F.array_join("ids", ", ").alias("cves"))
-    rows = rows.join(F.broadcast(table), ["exploitation", "exposure", "severity_band"])  # 24 rows
+    exploitation = F.when(F.col("cves") == "", "unknown").when(F.col("kev"), "active").when(F.col("epss") >= LIKELY, "likely").otherwise("none")
+    rows = rows.select("seq", "name", "host", exposure(F.col("host")).alias("exposure"), exploitation.alias("exploitation"), "severity_band", "kev", F.round("epss", 5).alias("epss"), "cvss", "cves")
+    rows = rows.join(table, ["exploitation", "exposure", "severity_band"]).select("seq", "name", "host", "kev", "epss", "cvss", "cves", "decision")
+    out = ranked(rows, [F.floor(F.col("decision") / len(decisions)), F.desc("epss"), F.desc(F.coalesce("cvss", F.lit(0.0))), F.col("seq")]).join(table, "decision")
     said = F.create_map(*[F.lit(x) for kv in EXPLOITS.items() for x in kv])
     why = F.concat(said[F.col("exploitation")], F.lit("; "), F.when(F.col("exposure") == "exposed", "internet-exposed").otherwise("internal asset"), F.lit("; "), F.col("severity_band"), F.lit(" severity"))
-    place = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("category"))
-    out = ranked(rows.withColumn("place", place), [F.col("place"), F.desc("epss"), F.desc(F.coalesce("cvss", F.lit(0.0))), F.col("seq")])
     return out.select("rank", "seq", "name", "host", "category", "exposure", "exploitation", F.col("severity_band").alias("severity"), "kev", "epss", "cvss", "cves", why.alias("justification"), F.lit(snapshot_date).alias("snapshot_date"))

@@ -379,6 +379,18 @@ def test_scores_of_whole_texts(spark, tmp_path):
         assert scores[k].rouge_l == pytest.approx(plain(p, q)) and scores[k].ratio == pytest.approx(1.0 if a == b else plain(a, b))
 
 
+def test_ranks_shuffle_whole_rows_once(spark):
+    """Places over many ranges, with nulls and descending keys; what reads the ranges has no window over whole rows."""
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, "a", "b"]), rng.choice([None, 0.0, 0.5, 1.0])) for k in range(500)]
+    got = prioritize.ranked(spark.createDataFrame(rows, "k long, name string, x double"), [F.asc("name"), F.desc("x"), F.col("k")])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and got.columns == ["k", "name", "x", "rank"]
+    inorder = sorted(rows, key=lambda r: (r[1] or "", r[2] is None, -(r[2] or 0.0), r[0]))
+    assert {r.k: r.rank for r in got.collect()} == {r[0]: i for i, r in enumerate(inorder, 1)}
+    assert prioritize.ranked(spark.createDataFrame([], "k long"), [F.col("k")]).count() == 0
+
+
 def test_subsequences_step_over_the_shorter_side():
     """Lengths are the plain definition's for texts and lists; a short text beside a long one takes few steps."""
     import time
