@@ -33,6 +33,8 @@ from siftwell.plans.staging import ship_package
 BLANK = "▁"
 #: Entries of each of the two generations of a worker's stores; about 115 MB of all stores together.
 STORE = 150_000
+#: The same for segments, whose entries are two texts each.
+SEGMENTS = 200_000
 _SEGMENT = re.compile(r"[ ]*[^ \n]+|\n|[ ]+")
 
 
@@ -86,11 +88,13 @@ class MergeModel:
                 self.byte_id[int(p.piece[1:-1], 16)] = i
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.text_of = {i: p for p, i in self.id.items()}
+        self.written = list(map(str, range(len(proto.pieces))))
         self.widest = max(map(len, self.id))
-        self._chosen = Store(self._choose)
+        self._chosen: dict[str | None, dict[str, str | None]] = {}
+        self._n_chosen = 0
         self._shorter = Store(lambda piece: self._cut(piece[:-1]))
         self._pairs = Store(self._compatible)
-        self.segments = Store(self._segment)
+        self.segments = Store(self._segment, SEGMENTS)
         self._grow()
         trie = ahocorasick.Automaton()
         for p in self.id:
@@ -99,8 +103,9 @@ class MergeModel:
 
     def release(self) -> None:
         """Empty the stores: a worker outlives its task, and the next one's stage needs the memory."""
-        for store in (self._chosen, self._shorter, self._pairs, self.segments):
+        for store in (self._shorter, self._pairs, self.segments):
             store.release()
+        self._chosen, self._n_chosen = {}, 0
 
     def _grow(self) -> None:
         """How each piece comes about: its place in merge order and the two parts of its last merge.
@@ -169,12 +174,19 @@ class MergeModel:
         """The longest piece that a way into the trie starts with."""
         return next((path[:n] for n in range(len(path), 0, -1) if path[:n] in self.id), None)
 
-    def _choose(self, key: tuple[str | None, str]) -> str | None:
-        """The longest piece at a place that goes with the piece before it; path: the way into the trie from there."""
-        before, path = key
+    def _choose(self, before: str | None, path: str) -> str | None:
+        """The longest piece at a place that goes with the piece before it; path: the way into the trie from there.
+
+        What was chosen is kept by the piece before, up to twice STORE places in all.
+        """
         token = self._cut(path)
         while token is not None and before is not None and not self._pairs[before, token]:
             token = self._shorter[token]
+        if self._n_chosen >= 2 * STORE:
+            self._chosen.clear()
+            self._n_chosen = 0
+        self._chosen.setdefault(before, {})[path] = token
+        self._n_chosen += 1
         return token
 
     def pieces(self, text: str) -> list[str]:
@@ -184,7 +196,16 @@ class MergeModel:
         n, pos, failed, before = len(text), 0, 0, None
         while pos < n:
             path = text[pos : pos + wide]
-            token = chosen[before, path[: longest(path)]]
+            path = path[: longest(path)]
+            try:
+                token = chosen[before][path]
+            except KeyError:
+                token = self._choose(before, path)
+            if token is not None and not failed:  # a piece of the trie, so a known one
+                out.append(token)
+                pos += len(token)
+                before = token
+                continue
             while token is None or failed and failed >> (pos + len(token)) & 1:
                 if token is None and text[pos] not in known:
                     token = text[pos]
@@ -221,29 +242,35 @@ class MergeModel:
         text = raw.decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
-    def _segment(self, segment: str) -> tuple[int, str, str]:
+    def _segment(self, segment: str) -> str:
+        """The ids of a segment in decimal; a zero byte and the text decoded from them follow where that isn't the segment."""
         ids = self._ids(segment)
         try:
             text = "".join(map(self.text_of.__getitem__, ids))
         except KeyError:  # byte pieces
             text = b"".join(bytes((self.byte_of[i],)) if i in self.byte_of else self.text_of[i].encode() for i in ids).decode("utf-8", "replace")
-        return len(ids), " ".join(map(str, ids)), segment if text == segment else text
+        written = " ".join(map(self.written.__getitem__, ids))
+        return written if text == segment else f"{written}\0{text}"
 
     def split(self, text: str) -> list[str]:
         return _SEGMENT.findall(self.prefix + text.replace(BLANK, " ")) if text else []
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text, without begin or end id."""
-        return list(map(int, " ".join([self.segments[s][1] for s in self.split(text or "")]).split()))
+        return list(map(int, " ".join([self.segments[s].partition("\0")[0] for s in self.split(text or "")]).split()))
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids with the end id, the ids in decimal, and the text decoded from them."""
-        found = [self.segments[s] for s in self.split(text or "")]
-        ids = " ".join([*(x[1] for x in found), str(self.eos)])
-        decoded = "".join([x[2] for x in found])
+        parts = self.split(text or "")
+        if not parts:
+            return 1, str(self.eos), ""
+        ids, decoded = " ".join(map(self.segments.__getitem__, parts)), "".join(parts)
+        if "\0" in ids:
+            found = [(s, *self.segments[s].partition("\0")) for s in parts]
+            ids, decoded = " ".join([x[1] for x in found]), "".join([x[3] if x[2] else x[0] for x in found])
         if self.prefix and decoded.startswith(" "):
             decoded = decoded[1:]
-        return sum([x[0] for x in found]) + 1, ids, decoded
+        return ids.count(" ") + 2, f"{ids} {self.eos}", decoded
 
 
 @lru_cache(maxsize=2)

@@ -91,6 +91,23 @@ def test_pair_check_equals_merging():
         assert model._compatible(pair) == (model.merge("".join(pair)) == list(pair))
 
 
+def test_sentencepiece_stores_hold_plain_texts():
+    """A segment's entry is its ids in decimal; a decoded text that isn't the segment stands behind a zero byte."""
+    model = sp_codec.MergeModel(tokenizer(MODEL))
+    text = "two  words\n\x00 \u00e9\U0001f600\u3042 and two"
+    ids = model.library.encode(text)
+    assert model.encode(text) == ids and model.digest(text) == (len(ids) + 1, " ".join(map(str, [*ids, model.eos])), model.library.decode(ids))
+    assert all(type(x) is str for x in model.segments.values()) and "\0" not in "".join(model.segments.values())
+    assert model.digest("") == model.digest(None) == (1, str(model.eos), "")
+    one = model.split("a two b")[1]
+    model.segments[one] += "\0 other"  # as if these ids gave another text
+    n, written, decoded = model.digest("a two b")
+    assert [*map(int, written.split())] == [*model.library.encode("a two b"), model.eos] and n == len(written.split()) and decoded == "a other b"
+    assert model.encode("a two b") == model.library.encode("a two b")
+    model.release()
+    assert not model.segments and not model._chosen and not model._n_chosen
+
+
 def test_sentencepiece_query(docs, texts, empty):
     library = sp_codec.load(tokenizer(MODEL)).library
     got = by_id(sp_codec.digests(docs, tokenizer(MODEL)))
